@@ -146,7 +146,7 @@ class Vocabulary:
         if self.added_cut is not None and any(t in text for t in self.added):
             parts = self.added_cut.split(text)
             return [c for i, part in enumerate(parts) for c in ([(part,)] if i % 2 else self.chunks(part) if part else [])]
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # two white spaces in a row, or other ones
+        if text.split() != text.replace("\n", " ").split(" "):  # two white spaces in a row, or other ones
             return self.cut.findall(text)
         out: list = []
         for i, line in enumerate(text.split("\n")):

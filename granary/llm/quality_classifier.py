@@ -71,15 +71,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.model.weights), -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the rows count by weight."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
-    return w
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Weights of a logistic regression on standardised columns by damped Newton steps; the rows count by weight."""
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
+    penalty = np.array([0.0] + [ridge] * x.shape[1])
+    w = np.zeros(z.shape[1])
+    loss = lambda w: (weight * (np.logaddexp(0, z @ w) - y * (z @ w))).sum() + 0.5 * (penalty * w * w).sum()
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (weight * (p - y)) + penalty * w
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), gradient)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return np.concatenate([[w[0] - (w[1:] * centre / scale).sum()], w[1:] / scale])
 
 
 def train(texts: list[bytes], labels: np.ndarray, share_good: float, params: QualityParams) -> QualityModel:
