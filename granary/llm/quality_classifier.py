@@ -71,7 +71,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.model.weights), -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Weights of a logistic regression on standardised columns by damped Newton steps; the rows count by weight."""
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
