@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, language_id, quality_classifier, substring_dedup
+from granary.llm import bpe, language_id, ngram_jaccard, quality_classifier, substring_dedup
 from granary.llm.common import read
 
 HELD_OUT = F.expr(quality_classifier.HELD_OUT)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(read(spark, sf_dir, "documents"), ngram_jaccard.JaccardParams(words=3, percent=90))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
