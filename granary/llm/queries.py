@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, language_id, ngram_jaccard, quality_classifier, substring_dedup, warc
+from granary.llm import ann, bpe, embedding_dedup, language_id, license_scan, ngram_jaccard, packing, quality_classifier, substring_dedup, warc
 from granary.llm.common import read
 
 HELD_OUT = F.expr(quality_classifier.HELD_OUT)
@@ -17,6 +17,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(read(spark, sf_dir, "documents"), ngram_jaccard.JaccardParams(words=3, percent=90))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,12 +33,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents.select("doc_id", "text", HELD_OUT.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(read(spark, sf_dir, "embeddings"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = quality_classifier.fit(documents, read(spark, sf_dir, "labels"))
     return quality_classifier.score(documents.select("doc_id", "text", HELD_OUT.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.fresh_folder(spark)
     warc.write(read(spark, sf_dir, "pages"), folder)
