@@ -1,15 +1,628 @@
-"""The queries of the retrieval engine, and their DuckDB twins."""
+"""The queries of the retrieval engine, and their DuckDB twins (where SQL can express them)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from granary import oracle as O
+from granary.config import EngineConfig
+from granary.functions import stem
+from granary.functions import text as T
+from granary.operators import answer, corpus, evaluate, graph, itemsets, minhash, retrieve, simhash, weights
+from granary.plans.engine import materialised
+from granary.streaming.ingest import windowed_counts
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+CONFIG = EngineConfig()
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with SQL over the oracle's parts."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = O.query(sql)
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunks(docs(spark, d))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Token arrays, written once to the shared folder: recomputing them inside every use costs far more."""
+    return graph.shared(weights.tokens(chunks(spark, d)))
+
+
+def corpus_of(spark: SparkSession, d: str) -> retrieve.Corpus:
+    return materialised(chunks(spark, d))
+
+
+def ranked(spark: SparkSession, d: str, method: str, k: int = 5, config: EngineConfig = CONFIG, source_file: str | None = None) -> DataFrame:
+    return retrieve.retrieve(corpus_of(spark, d), asked(spark, d), method, k, config, source_file)
+
+
+def methods(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in ("tfidf", "minhash", "simhash", "hybrid")], "method string")
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def results_sql(body: str) -> str:
+    return f"SELECT query_id, method, rank, chunk_id, round(score, 6) AS score, fallback_to FROM ({body})"
+
+
+# ---------------------------------------------------------------- sources, chunks, status
+
+
+@query("SELECT source || '_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS id, text, CAST(1 AS INTEGER) AS page_start, CAST(1 AS INTEGER) AS page_end, '' AS section_title, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS char_count, source AS source_file, contains(text, ' | ') AS has_table FROM documents")
+def scan_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.full_chunks(docs(spark, d))
+
+
+@query("SELECT format('chunk_{:06d}', row_number() OVER (ORDER BY source, doc_id) - 1) AS id, doc_id AS chunk_id, source AS source_file FROM documents")
+def ingest_union_renumber(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks(spark, d)
+    return corpus.renumber([rows.where("source_file < 'src5'"), rows.where("source_file >= 'src5'")])
+
+
+@query("SELECT count(*) AS n_chunks, arg_min(source_file, chunk_id) AS first_source, list_sort(list(DISTINCT source_file)) AS source_files FROM chunk")
+def corpus_status(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.status(chunks(spark, d))
+
+
+CLEAN_SQL = r"array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '-\n', '', 'g'), '([^\n])\n([^\n])', '\1 \2', 'g'), '([^\n])\n([^\n])', '\1 \2', 'g'), '(?im)^[ \t]*NUST.*?Handbook.*?\d+[ \t]*$', ' ', 'g'), '(?m)^[ \t]*\d+[ \t]*$', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n'), lambda x: trim(x)), lambda x: x <> ''), E'\n\n')"
+
+
+@query(f"SELECT chunk_id, {CLEAN_SQL.format('text')} AS cleaned FROM chunk")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("chunk_id", T.clean("text").alias("cleaned"))
+
+
+TOC = "Contents\nOne ..... 1\nTwo ..... 2\nThree ..... 3\nFour ..... 4\nFive ..... 5"
+PAGES = [(1, TOC), (2, "plain page without leaders but with enough letters to stay in the corpus"), (3, "short"), (4, "a.... b.... c.... d.... e.... f.... g.... h.... all on a single line of this page"), (5, "ends ... 7\nonce ... 8\nand twice more, which is too few lines for a table of contents")]
+PAGES_SQL = "(VALUES " + ", ".join(f"({n}, '{t}')" for n, t in PAGES).replace("\n", "' || chr(10) || '") + ") AS p(page_number, text)"
+CONTENTS_SQL = r"(len(regexp_extract_all(text, '\.{4,}')) >= 8 OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\.{3,}\s*\d+\s*$'))) >= 5)"
+
+
+@query(f"SELECT page_number, {CONTENTS_SQL} AS contents FROM {PAGES_SQL} UNION ALL SELECT doc_id + 100, {CONTENTS_SQL} FROM documents")
+def toc_filter(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.createDataFrame(PAGES, "page_number long, text string").union(docs(spark, d).select(F.col("doc_id") + 100, "text"))
+    return pages.select("page_number", T.is_contents_page("text").alias("contents"))
+
+
+@query(f"SELECT chunk_id FROM chunk WHERE length({CLEAN_SQL.format('text')}) >= 50")
+def near_empty_filter(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).where(F.length(T.clean("text")) >= 50).select("chunk_id")
+
+
+@query("SELECT doc_id AS chunk_id, contains(text, ' | ') AS has_table FROM documents")
+def has_table(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("chunk_id", T.has_table("text").alias("has_table"))
+
+
+@query("SELECT * FROM (VALUES ('a_pdf_000000', 1, 1, ''), ('a_pdf_000001', 2, 5, 'T'), ('b_pdf_000002', 7, 7, 'S')) t(id, page_start, page_end, section_title)")
+def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("a.pdf", 0, [], None, []), ("a.pdf", 1, [5, 2], None, [("Text", "x"), ("Title", "T"), ("Title", "U")]), ("b.pdf", 2, [7], "S", [("Title", "T")])]
+    df = spark.createDataFrame(rows, "file string, i int, pages array<int>, section string, elements array<struct<kind:string,text:string>>")
+    return df.select(corpus.chunk_id(F.col("file"), F.col("i")).alias("id"), corpus.page_start(F.col("pages")).alias("page_start"), corpus.page_end(F.col("pages")).alias("page_end"), corpus.section(F.col("section"), F.col("elements")).alias("section_title"))
+
+
+@query("SELECT chunk_id, CAST(w AS INTEGER) AS \"window\", CAST(s AS INTEGER) AS word_start, array_to_string(list_slice(words, s + 1, s + 350), ' ') AS text FROM (SELECT chunk_id, words, unnest(range(0, len(words), 275)) AS s, unnest(range(0, CAST(ceil(len(words) / 275.0) AS BIGINT))) AS w FROM (SELECT chunk_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM chunk))")
+def chunk_window(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.windows(chunks(spark, d), CONFIG.window_words, CONFIG.window_overlap)
+
+
+@query()
+def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.sentence_windows(chunks(spark, d), CONFIG.window_words, CONFIG.window_overlap)
+
+
+@query()
+def chunk_by_title(spark: SparkSession, d: str) -> DataFrame:
+    lines = docs(spark, d).select(F.concat("source", F.lit("_"), F.col("doc_id")).alias("file"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    kinds = F.when((F.length("text") < 40) & ~F.col("text").contains("."), "Title").otherwise("Text")
+    return corpus.chunk_by_title(lines.select("file", "position", kinds.alias("kind"), "text", F.lit(1).alias("page")))
+
+
+@query("SELECT chunk_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS char_count FROM chunk")
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("chunk_id", T.word_count("text").alias("word_count"), F.length("text").alias("char_count"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a b c d'), (2, 'l1 l2 l3 r1 r2 r3')) t(page, text)")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "a", 0.0, 1.0), (1, "b", 90.0, 1.0), (1, "c", 0.0, 2.0), (1, "d", 90.0, 2.0)] + [(2, f"{s}{i}", x, float(i)) for s, x in (("l", 0.0), ("r", 60.0)) for i in (1, 2, 3)]
+    return corpus.reading_order(spark.createDataFrame(rows, "page int, text string, x0 double, top double"), 100.0)
+
+
+@query("SELECT * FROM (VALUES (1, 'Hi'), (2, '')) t(page, section_title)")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, i, c, s) for i, (c, s) in enumerate([("H", 16.0), ("i", 16.0), ("a", 10.0), ("b", 10.0), ("c", 10.0)])] + [(2, i, c, 10.0) for i, c in enumerate("xy")]
+    return corpus.headings(spark.createDataFrame(rows, "page int, position int, text string, size double"))
+
+
+@query("SELECT min(doc_id) AS chunk_id, sha256(text) AS digest, count(*) AS copies FROM documents GROUP BY text")
+def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.exact_duplicates(chunks(spark, d))
+
+
+@query("SELECT CASE WHEN c = 0 THEN CAST(chunk_id AS VARCHAR) ELSE chunk_id || '__dup' || c END AS id, text, source_file FROM chunk, (SELECT unnest(range(4)) AS c)")
+def scaled_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.scaled(chunks(spark, d), 4)
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query("SELECT chunk_id, terms FROM tok")
+def tokenize(spark: SparkSession, d: str) -> DataFrame:
+    return weights.tokens(chunks(spark, d))
+
+
+@query()
+def normalize_terms(spark: SparkSession, d: str) -> DataFrame:
+    tf = weights.term_frequency(tokens(spark, d))
+    return stem.stem_terms(tf).groupBy("chunk_id", "stem").agg(F.sum("tf").alias("tf"))
+
+
+@query("SELECT DISTINCT chunk_id, unnest(CASE WHEN len(terms) = 0 THEN [] WHEN len(terms) < 3 THEN [array_to_string(terms, ' ')] ELSE list_transform(range(1, len(terms) - 1), lambda i: terms[i] || ' ' || terms[i + 1] || ' ' || terms[i + 2]) END) AS shingle FROM tok")
+def shingles_k3(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).select("chunk_id", F.explode(T.shingles_k("terms", CONFIG.shingle_k)).alias("shingle"))
+
+
+@query("SELECT chunk_id, shingle FROM shingle")
+def shingles_ub(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.shingle_rows(tokens(spark, d))
+
+
+@query(r"SELECT chunk_id, list_distinct(list_concat(regexp_extract_all(text, '[Ss]ection\s+(\d+(?:\.\d+)*)', 1), regexp_extract_all(text, '[Aa]rticle\s+(\d+)', 1), regexp_extract_all(text, '[Cc]lause\s+(\d+)', 1))) AS keys FROM (SELECT chunk_id, text FROM chunk UNION ALL VALUES (-1, 'See Section 3.2, article 7'), (-2, 'clause 9'))".replace("AS keys", "AS k").replace("SELECT chunk_id, list_distinct", "SELECT chunk_id, list_sort(k) AS keys FROM (SELECT chunk_id, list_distinct") + ")")
+def reference_keys(spark: SparkSession, d: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, "See Section 3.2, article 7"), (-2, "clause 9")], "chunk_id long, text string")
+    return chunks(spark, d).select("chunk_id", "text").union(more).select("chunk_id", F.array_sort(T.reference_keys("text")).alias("keys"))
+
+
+@query(r"SELECT chunk_id, round(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / greatest(1, length(text)), 6) AS quality FROM chunk")
+def text_quality(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(chunks(spark, d).select("chunk_id", T.text_quality("text").alias("quality")), "quality")
+
+
+@query(f"SELECT query_id, chunk_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(t, q)) / len(q), 4) ELSE 0.0 END AS overlap FROM (SELECT query_id, list_distinct({O.RAW.format('text')}) AS q FROM query), (SELECT chunk_id, list_distinct({O.RAW.format('text')}) AS t FROM chunk)")
+def term_overlap(spark: SparkSession, d: str) -> DataFrame:
+    t = graph.shared(chunks(spark, d).select("chunk_id", F.array_distinct(T.raw_terms("text")).alias("t")))
+    q = asked(spark, d).select("query_id", F.array_distinct(T.raw_terms("text")).alias("q"))
+    share = F.when(F.size("q") > 0, F.round(F.size(F.array_intersect("t", "q")) / F.size("q"), 4)).otherwise(F.lit(0.0))
+    return t.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", share.alias("overlap"))
+
+
+SNIPPET_SQL = r"(CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 240 THEN substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 240) || '…' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END)"
+
+
+@query(f"SELECT chunk_id, {SNIPPET_SQL} AS snippet FROM chunk")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("chunk_id", T.snippet("text").alias("snippet"))
+
+
+SENTENCES_SQL = r"string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT chunk_id, {SENTENCES_SQL.format('text')} AS sentences FROM chunk")
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("chunk_id", T.sentences("text").alias("sentences"))
+
+
+@query("SELECT * FROM (VALUES (1, [1], ['a']), (2, [2, 1], ['b', 'a']), (3, []::INTEGER[], ['a']), (4, [1, 2], ['a', 'b'])) t(query_id, numbers, cited)")
+def parse_citations(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "Yes.\n\nCited: Excerpt 1"), (2, "see excerpt #2\ncitations 1 and 7"), (3, "no number here, 42"), (4, "Cited excerpts: 1, 2, 9")]
+    df = spark.createDataFrame([(i, t, ["a", "b", "c"]) for i, t in rows], "query_id int, answer string, chunk_ids array<string>")
+    return answer.cited_chunks(df).select("query_id", "numbers", "cited")
+
+
+# ---------------------------------------------------------------- weights
+
+
+@query("SELECT chunk_id, term, tf FROM tf")
+def term_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return weights.term_frequency(weights.tokens(chunks(spark, d)))
+
+
+@query("SELECT term, df, round(idf, 6) AS idf FROM idf")
+def idf(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks(spark, d)
+    return rounded(weights.idf(weights.term_frequency(weights.tokens(rows)), rows.count()), "idf")
+
+
+@query("SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
+def tfidf_vocab(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks(spark, d)
+    return rounded(weights.vocabulary(weights.grams(rows), rows.count()), "idf")
+
+
+@query("SELECT chunk_id, term, round(w, 6) AS w FROM vec")
+def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks(spark, d)
+    grams = weights.grams(rows)
+    return rounded(weights.vectors(grams, weights.vocabulary(grams, rows.count())), "w")
+
+
+@query("SELECT query_id, chunk_id, round(cosine, 6) AS cosine FROM scores")
+def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    return rounded(retrieve.tfidf_scores(c, retrieve.encode(asked(spark, d), c)), "cosine")
+
+
+# ---------------------------------------------------------------- SimHash and MinHash
+
+
+@query("SELECT chunk_id, fp_hi, fp_lo FROM fp")
+def simhash_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_of(spark, d).fingerprints
+
+
+@query("SELECT query_id, chunk_id, CAST(bit_count(xor(q.fp_hi, c.fp_hi)) + bit_count(xor(q.fp_lo, c.fp_lo)) AS INTEGER) AS hamming FROM qfp q, fp c")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    return simhash.query_distances(retrieve.encode(asked(spark, d), c).fingerprints, c.fingerprints)
+
+
+@query("SELECT a, b, hamming FROM near")
+def near_dup_edges(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(corpus_of(spark, d).fingerprints)
+
+
+@query("SELECT chunk_id, CAST(slot AS INTEGER) AS slot, value FROM sig")
+def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.signatures(minhash.shingle_rows(tokens(spark, d)), CONFIG.num_perm)
+
+
+@query("SELECT query_id, chunk_id, bands FROM cand")
+def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    q = retrieve.encode(asked(spark, d), c)
+    return minhash.candidates(minhash.bands(q.signatures, 1, "query_id"), minhash.bands(c.signatures, 1))
+
+
+@query("SELECT query_id, chunk_id, round(sig_jaccard, 6) AS sig_jaccard FROM cand")
+def minhash_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    return rounded(retrieve.lsh(c, retrieve.encode(asked(spark, d), c), CONFIG), "sig_jaccard").select("query_id", "chunk_id", "sig_jaccard")
+
+
+@query("SELECT query_id, chunk_id, round(sig_jaccard, 6) AS sig_jaccard FROM pre")
+def lsh_preselect(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    found = retrieve.top(retrieve.lsh(c, retrieve.encode(asked(spark, d), c), CONFIG), "sig_jaccard", CONFIG.preselect)
+    return rounded(found.select("query_id", "chunk_id", "sig_jaccard"), "sig_jaccard")
+
+
+@query("SELECT query_id, chunk_id, round(jaccard, 6) AS jaccard FROM exact")
+def jaccard_exact(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    q = retrieve.encode(asked(spark, d), c)
+    found = retrieve.top(retrieve.lsh(c, q, CONFIG), "sig_jaccard", CONFIG.preselect).select("query_id", "chunk_id")
+    return rounded(minhash.exact_jaccard(found, minhash.shingle_rows(q.tokens, "query_id"), minhash.shingle_rows(c.tokens)), "jaccard")
+
+
+# ---------------------------------------------------------------- itemsets
+
+
+def baskets(spark: SparkSession, d: str) -> tuple[DataFrame, int, DataFrame]:
+    rows = chunks(spark, d)
+    n = rows.count()
+    tf = weights.term_frequency(tokens(spark, d))
+    return tf.select("chunk_id", "term"), CONFIG.support(n), weights.idf(tf, n)
+
+
+@query("SELECT a, support FROM item")
+def fim_singletons(spark: SparkSession, d: str) -> DataFrame:
+    rows, support, _ = baskets(spark, d)
+    return itemsets.singletons(rows, support)
+
+
+@query("SELECT a, b, support FROM pair")
+def fim_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows, support, _ = baskets(spark, d)
+    return itemsets.pairs(rows, support)
+
+
+@query("SELECT a, b, c, support FROM triple")
+def fim_triples(spark: SparkSession, d: str) -> DataFrame:
+    rows, support, _ = baskets(spark, d)
+    return itemsets.triples(rows, itemsets.pairs(rows, support), support)
+
+
+def cooccurrences(spark: SparkSession, d: str) -> DataFrame:
+    rows, support, idf = baskets(spark, d)
+    pairs = itemsets.pairs(rows, support)
+    return itemsets.cooccurrence(pairs, itemsets.triples(rows, pairs, support), idf)
+
+
+@query("SELECT term, co_term, support, round(support * idf, 6) AS weight, CAST(row_number() OVER (PARTITION BY c.term ORDER BY round(support * idf, 9) DESC, co_term) AS INTEGER) AS place FROM cooc c JOIN (SELECT term AS co_term, idf FROM idf) USING (co_term)")
+def fim_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(cooccurrences(spark, d), "weight").drop("idf")
+
+
+@query()
+def expand_query(spark: SparkSession, d: str) -> DataFrame:
+    q = asked(spark, d).select("query_id", T.tokenize("text").alias("terms"))
+    return itemsets.expand(q, cooccurrences(spark, d), CONFIG.fim_top_n, CONFIG.fim_min_idf)
+
+
+# ---------------------------------------------------------------- rankers
+
+
+@query(results_sql(O.tfidf(5)))
+def retrieve_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranked(spark, d, "tfidf"), "score")
+
+
+@query(results_sql(O.minhash(5)))
+def retrieve_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranked(spark, d, "minhash"), "score")
+
+
+@query(results_sql(O.scan(5, 10)))
+def retrieve_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranked(spark, d, "simhash"), "score")
+
+
+@query(results_sql(O.hybrid(5)))
+def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranked(spark, d, "hybrid"), "score")
+
+
+@query(results_sql("SELECT * FROM res5"))
+def retrieve_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranked(spark, d, "all"), "score")
+
+
+@query(results_sql(O.tfidf(5, "(SELECT s.* FROM scores s JOIN chunk c USING (chunk_id) WHERE source_file = 'src0')", "(SELECT * FROM chunk WHERE source_file = 'src0')")))
+def filter_source_file(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranked(spark, d, "tfidf", source_file="src0"), "score")
+
+
+@query(f"SELECT query_id, rank, chunk_id, round(cosine, 6) AS cosine FROM ({O.top('scores', 'cosine', 10)})")
+def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    return rounded(retrieve.top(retrieve.tfidf_scores(c, retrieve.encode(asked(spark, d), c)), "cosine", 10), "cosine").select("query_id", "rank", "chunk_id", "cosine")
+
+
+PURE = f"SELECT query_id, 'minhash_lsh_only' AS method, rank, chunk_id, round(sig_jaccard, 6) AS score, candidates FROM ({O.top('cand', 'sig_jaccard', 5)}) JOIN (SELECT query_id, count(*) AS candidates FROM cand GROUP BY 1) USING (query_id)"
+
+
+@query(PURE)
+def minhash_lsh_only(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus_of(spark, d)
+    return rounded(retrieve.minhash_pure(c, retrieve.encode(asked(spark, d), c), 5, CONFIG), "score").drop("fallback_to")
+
+
+# ---------------------------------------------------------------- graph and fusion
+
+
+TITLED = [(1, "Section 3.2 Graduation Requirements", "Section 3.2 describes the requirement."), (2, "Section 4 Attendance", "See Section 3.2 and Article 9 for details."), (3, "Section 5 and 9", "Clause 4 applies."), (4, "Again 3.2", "nothing")]
+
+
+@query("SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (VALUES (2, 1), (2, 3), (3, 2)) t(src, dst)")
+def reference_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(TITLED, "chunk_id long, section_title string, text string")
+    return graph.reference_edges(rows.union(chunks(spark, d).select(F.col("chunk_id") + 100, F.lit(""), "text")))
+
+
+def ranks(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.both_ways(simhash.near_duplicates(corpus_of(spark, d).fingerprints))
+    return graph.pagerank(chunks(spark, d), edges, CONFIG.pagerank_alpha, CONFIG.pagerank_iterations)
+
+
+@query("SELECT chunk_id, round(rank, 8) AS rank FROM rank_20")
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ranks(spark, d), "rank", places=8)
+
+
+@query("SELECT chunk_id, round(pagerank, 6) AS pagerank FROM pr")
+def pagerank_norm(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(graph.normalised(ranks(spark, d)), "pagerank")
+
+
+FUSED = "SELECT query_id, method, chunk_id, score, pagerank, final_score, row_number() OVER (PARTITION BY query_id, method ORDER BY round(final_score, 9) DESC, chunk_id) AS rank FROM (SELECT r.*, pagerank, 0.7 * score + 0.3 * pagerank AS final_score FROM ({0}) r JOIN pr USING (chunk_id))"
+
+
+def fused_results(spark: SparkSession, d: str, method: str) -> DataFrame:
+    return rounded(retrieve.fused(ranked(spark, d, method), graph.normalised(ranks(spark, d))), "score", "pagerank", "final_score").select("query_id", "method", "rank", "chunk_id", "score", "pagerank", "final_score")
+
+
+@query(f"SELECT query_id, chunk_id, round(final_score, 6) AS final_score FROM ({FUSED.format(O.hybrid(5))})")
+def fuse_scores(spark: SparkSession, d: str) -> DataFrame:
+    return fused_results(spark, d, "hybrid").select("query_id", "chunk_id", "final_score")
+
+
+@query(f"SELECT query_id, method, rank, chunk_id, round(score, 6) AS score, round(pagerank, 6) AS pagerank, round(final_score, 6) AS final_score FROM ({FUSED.format(O.tfidf(5))})")
+def retrieve_tfidf_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return fused_results(spark, d, "tfidf")
+
+
+@query(f"SELECT query_id, chunk_id, rank FROM ({FUSED.format(O.minhash(5))})")
+def rerank_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return fused_results(spark, d, "minhash").select("query_id", "chunk_id", "rank")
+
+
+# ---------------------------------------------------------------- results, answers
+
+
+SPANS = f"""SELECT query_id, chunk_id, list({{'start': s, 'end': e}} ORDER BY s) AS spans FROM (
+    SELECT query_id, chunk_id, isle, CAST(min(s) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e FROM (
+        SELECT *, sum(new) OVER (PARTITION BY query_id, chunk_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM (
+            SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY query_id, chunk_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (
+                SELECT DISTINCT query_id, chunk_id, i - 1 AS s, i - 1 + length(w) AS e FROM (
+                    SELECT query_id, chunk_id, t, w, unnest(range(1, length(t) + 1)) AS i FROM (
+                        SELECT r.query_id, r.chunk_id, lower(c.text) AS t, unnest(list_distinct(list_filter(regexp_split_to_array(lower(q.text), '\\s+'), lambda x: x <> ''))) AS w
+                        FROM ({O.tfidf(5)}) r JOIN chunk c ON c.chunk_id = r.chunk_id JOIN query q ON q.query_id = r.query_id))
+                WHERE substr(t, i, length(w)) = w)))
+    GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query(SPANS)
+def highlight_spans(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieve.hydrated(ranked(spark, d, "tfidf"), chunks(spark, d), asked(spark, d))
+    return found.where(F.size("highlight_spans") > 0).select("query_id", "chunk_id", F.col("highlight_spans").alias("spans"))
+
+
+@query(f"SELECT r.query_id, r.rank, r.chunk_id, c.text, c.source_file FROM ({O.tfidf(5)}) r JOIN chunk c USING (chunk_id)")
+def hydrate_results(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.hydrated(ranked(spark, d, "tfidf"), chunks(spark, d), asked(spark, d)).select("query_id", "rank", "chunk_id", "text", "source_file")
+
+
+@query(f"SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({O.top('(SELECT query_id, chunk_id, max(score) AS score FROM res5 GROUP BY 1, 2)', 'score', 5)})")
+def merge_methods(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(retrieve.merged(ranked(spark, d, "all"), 5), "score")
+
+
+@query("SELECT query_id, chunk_id, list_sort(list(DISTINCT method)) AS methods, CAST(count(DISTINCT method) AS INTEGER) AS n_methods FROM res5 GROUP BY 1, 2")
+def method_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.method_overlap(ranked(spark, d, "all"))
+
+
+ANSWER = r"""SELECT q.query_id, coalesce(trim(b.sentence), '{nothing}') AS answer, b.chunk_id FROM query q LEFT JOIN (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, pos) AS place FROM (
+        SELECT query_id, chunk_id, s AS sentence, pos, len(list_intersect(list_distinct(list_transform(regexp_extract_all(s, '[A-Za-z0-9]+'), lambda x: lower(x))), q)) AS overlap FROM (
+            SELECT query_id, chunk_id, q, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM (
+                SELECT t.query_id, t.chunk_id, list_distinct(list_transform(regexp_extract_all(q.text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS q, {sentences} AS ss FROM (
+                    SELECT r.query_id, r.chunk_id, c.text, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank, r.chunk_id) AS top FROM ({results}) r JOIN chunk c USING (chunk_id)
+                    WHERE length(regexp_replace(c.text, '[^\p{{L}}]', '', 'g')) / greatest(1, length(c.text)) >= 0.25) t JOIN query q USING (query_id) WHERE top = 1)))) WHERE place = 1) b USING (query_id)"""
+
+
+@query(ANSWER.format(nothing=answer.NOTHING, sentences=SENTENCES_SQL.format("trim(t.text)"), results=O.tfidf(5)))
+def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
+    return answer.extractive(ranked(spark, d, "tfidf"), chunks(spark, d), asked(spark, d))
+
+
+@query(ANSWER.format(nothing=answer.NOTHING, sentences=SENTENCES_SQL.format("trim(t.text)"), results=O.hybrid(5)))
+def answer_queries(spark: SparkSession, d: str) -> DataFrame:
+    return answer.extractive(ranked(spark, d, "hybrid"), chunks(spark, d), asked(spark, d))
+
+
+@query(f"SELECT q.query_id, coalesce(e, '') || chr(10) || chr(10) || 'Question: ' || q.text AS prompt FROM query q LEFT JOIN (SELECT query_id, string_agg('Excerpt ' || rank || ' (' || source_file || '):' || chr(10) || {SNIPPET_SQL}, chr(10) || chr(10) ORDER BY rank) AS e FROM ({O.tfidf(5)}) r JOIN chunk c USING (chunk_id) GROUP BY 1) USING (query_id)")
+def build_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return answer.prompts(ranked(spark, d, "tfidf"), chunks(spark, d), asked(spark, d))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    q, c = asked(spark, d), chunks(spark, d)
+    return evaluate.per_query(graph.shared(ranked(spark, d, "all", 10)), evaluate.relevant(q, c), q, methods(spark), 5)
+
+
+@query("SELECT method, query_id, round(precision, 6) AS precision, round(recall, 6) AS recall FROM perq")
+def precision_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluated(spark, d).select("method", "query_id", "precision", "recall"), "precision", "recall")
+
+
+@query("SELECT method, query_id, round(average_precision, 6) AS average_precision FROM perq")
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluated(spark, d).select("method", "query_id", "average_precision"), "average_precision")
+
+
+@query("SELECT method, round(avg(average_precision), 6) AS map FROM perq GROUP BY 1")
+def map_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.summary(evaluated(spark, d)).select("method", "map"), "map")
+
+
+@query("SELECT s.method, round(precision, 6) AS precision, round(recall, 6) AS recall, round(map, 6) AS map, round(fallback_rate, 6) AS fallback_rate FROM (SELECT method, avg(precision) AS precision, avg(recall) AS recall, avg(average_precision) AS map FROM perq GROUP BY 1) s JOIN (SELECT method, avg(f) AS fallback_rate FROM (SELECT method, query_id, max(CASE WHEN fallback_to IS NULL THEN 0 ELSE 1 END) AS f FROM res GROUP BY 1, 2) GROUP BY 1) USING (method)")
+def method_comparison(spark: SparkSession, d: str) -> DataFrame:
+    q, c = asked(spark, d), chunks(spark, d)
+    found = graph.shared(ranked(spark, d, "all", 10))
+    each = evaluate.per_query(found, evaluate.relevant(q, c), q, methods(spark), 5)
+    return rounded(evaluate.summary(each).join(evaluate.fallback_rates(found), "method"), "precision", "recall", "map", "fallback_rate")
+
+
+@query("SELECT method, CAST(k AS INTEGER) AS k, round(coalesce(sum(CASE WHEN rank <= k THEN hit ELSE 0 END), 0) / k / (SELECT count(*) FROM query), 6) AS precision FROM judged, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY 1, 2")
+def precision_curve(spark: SparkSession, d: str) -> DataFrame:
+    q, c = asked(spark, d), chunks(spark, d)
+    return rounded(evaluate.precision_curve(ranked(spark, d, "all", 10), evaluate.relevant(q, c), q, methods(spark)), "precision")
+
+
+@query("SELECT method, category, count(*) AS queries, round(avg(precision), 6) AS precision FROM perq JOIN (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM query) USING (query_id) GROUP BY ROLLUP (method, category)")
+def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
+    categories = asked(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"))
+    return rounded(evaluate.rollup(evaluated(spark, d), categories), "precision")
+
+
+@query(f"SELECT query_id, chunk_id, string_agg(method || ':' || rank, ',' ORDER BY method) AS found_by, min(rank) AS best_rank, any_value(o) AS term_overlap, any_value(sn) AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY any_value(o) DESC, min(rank), chunk_id) AS place FROM (SELECT r.query_id, r.chunk_id, r.method, r.rank, CASE WHEN len(list_distinct({O.RAW.format('q.text')})) > 0 THEN round(len(list_intersect(list_distinct({O.RAW.format('c.text')}), list_distinct({O.RAW.format('q.text')}))) / len(list_distinct({O.RAW.format('q.text')})), 4) ELSE 0.0 END AS o, {SNIPPET_SQL.replace('text', 'c.text')} AS sn FROM res5 r JOIN chunk c USING (chunk_id) JOIN query q ON q.query_id = r.query_id WHERE method <> 'hybrid') GROUP BY 1, 2")
+def mine_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mine(ranked(spark, d, "all").where("method != 'hybrid'"), chunks(spark, d), asked(spark, d))
+
+
+@query("SELECT * FROM (VALUES ('hybrid', 0, 1, 0, 1), ('tfidf', 2, 0, 1, 0)) t(method, correct, partial, incorrect, unscored)")
+def qualitative_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("a", "tfidf", "correct"), ("b", "tfidf", "correct"), ("c", "tfidf", "incorrect"), ("a", "hybrid", "partial"), ("b", "hybrid", "bogus")]
+    return evaluate.label_counts(spark.createDataFrame(rows, "query string, method string, score string"))
+
+
+MEAN = "SELECT {0} AS setting, round(avg(coalesce(h, 0) / 5.0), 6) AS precision FROM query q LEFT JOIN (SELECT r.query_id, count(*) AS h FROM ({1}) r JOIN qrel l ON l.query_id = r.query_id AND l.chunk_id = r.chunk_id GROUP BY 1) USING (query_id)"
+
+
+def sweep(spark: SparkSession, d: str, runs: list[tuple[float, Callable[[retrieve.Corpus, retrieve.Queries], DataFrame]]]) -> DataFrame:
+    """(setting, precision at 5) of several rankings over one corpus."""
+    c, q = corpus_of(spark, d), asked(spark, d)
+    encoded = retrieve.encode(q, c)
+    found = None
+    for setting, run in runs:
+        rows = run(c, encoded).select("query_id", "chunk_id", F.lit(setting).alias("setting"))
+        found = rows if found is None else found.unionByName(rows)
+    hits = found.join(evaluate.relevant(q, chunks(spark, d)), ["query_id", "chunk_id"]).groupBy("setting", "query_id").agg(F.count("*").alias("h"))
+    every = q.select("query_id").crossJoin(spark.createDataFrame([(s,) for s, _ in runs], f"setting {'int' if isinstance(runs[0][0], int) else 'double'}"))
+    return rounded(every.join(hits, ["setting", "query_id"], "left").groupBy("setting").agg(F.avg(F.coalesce("h", F.lit(0)) / 5.0).alias("precision")), "precision")
+
+
+@query(" UNION ALL ".join(MEAN.format(f"CAST({t} AS INTEGER)", O.scan(5, t)) for t in (5, 8, 10, 12, 15)))
+def sensitivity_hamming(spark: SparkSession, d: str) -> DataFrame:
+    return sweep(spark, d, [(t, lambda c, q, t=t: retrieve.simhash_ranked(c, q, 5, t)) for t in (5, 8, 10, 12, 15)])
+
+
+@query(" UNION ALL ".join(MEAN.format(f"CAST({a} AS DOUBLE)", O.hybrid(5, a)) for a in (0.25, 0.5, 0.75)))
+def sensitivity_alpha(spark: SparkSession, d: str) -> DataFrame:
+    return sweep(spark, d, [(a, lambda c, q, a=a: retrieve.hybrid(c, q, 5, EngineConfig(alpha=a, beta=1 - a))) for a in (0.25, 0.5, 0.75)])
+
+
+BANDED = "SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sig_jaccard, 9) DESC, chunk_id) AS rank FROM cand JOIN (SELECT DISTINCT x.query_id, y.chunk_id FROM (SELECT query_id, slot // {0} AS band, string_agg(value, '-' ORDER BY slot) AS bucket FROM qsig GROUP BY 1, 2) x JOIN (SELECT chunk_id, slot // {0} AS band, string_agg(value, '-' ORDER BY slot) AS bucket FROM sig GROUP BY 1, 2) y ON x.band = y.band AND x.bucket = y.bucket) USING (query_id, chunk_id)) WHERE rank <= 5"
+
+
+@query(" UNION ALL ".join(MEAN.format(f"CAST({128 // r} AS INTEGER)", BANDED.format(r)) for r in (8, 4, 2)))
+def sensitivity_bands(spark: SparkSession, d: str) -> DataFrame:
+    return sweep(spark, d, [(128 // r, lambda c, q, r=r: retrieve.minhash_pure(c, q, 5, EngineConfig(lsh_bands=128 // r, lsh_rows=r))) for r in (8, 4, 2)])
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The batch twin of the streaming aggregate."""
+    return rounded(windowed_counts(spark.read.parquet(f"{d}/events.parquet")), "total", places=4)
