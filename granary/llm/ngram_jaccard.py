@@ -11,7 +11,8 @@ all its slices' pivots, so sets near a border stand in each; size classes overla
 Inside a region. Each member x keeps the difference D(x) between it and the pivot. Members within the threshold of the
 pivot link to it; by the triangle inequality |D(x)|+|D(y)| bounds any pair's difference from above, so only pairs with
 one member outside the threshold remain, and these must share elements of their differences. The differences are again
-small sets, and are joined recursively as such: rarest elements first, prefixes whose length the triangle inequality
+small sets and are joined recursively: a region of a few members directly, a larger one under a better pivot, the member
+with the least difference, again by differences: rarest elements first, prefixes whose length the triangle inequality
 bounds, exact counts at the end. Edits of one text, common words and passages cancel in the differences, so a region of
 thousands of near copies makes no all-pairs list.
 
@@ -44,6 +45,7 @@ class JaccardParams:
     percent: int = 80
     part_keys: int = 500_000
     class_ratio: float = 1.5
+    leaf: int = 12  # members of a region that are compared with each other directly
 
 
 class Classes:
@@ -103,10 +105,6 @@ def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(n > 0, out, U(0)).view(np.int64)
 
 
-def linked(i: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * i >= percent * union
-
-
 def sets_of(documents: DataFrame, params: JaccardParams) -> DataFrame:
     """doc_id, n_shingles, node (the set's number, null for empty sets), keys (of its slices)."""
     k = params.words
@@ -206,33 +204,85 @@ def shingles(documents: DataFrame, wanted: DataFrame, params: JaccardParams) ->
     return texts.select("node", "doc_id", "text").mapInArrow(run, "node long, set binary")
 
 
-def compare(members: DataFrame, percent: int) -> DataFrame:
-    """(pivot, node, n, core, difference) of members with both sets: core if linked to the pivot."""
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The symmetric difference of two sorted sets, sorted."""
+    d = np.sort(np.concatenate([a, b]))
+    twin = d[1:] == d[:-1]
+    once = np.ones(len(d), bool)
+    once[1:] &= ~twin
+    once[:-1] &= ~twin
+    return d[once]
+
+
+def near(n: int, m: int, difference: int, percent: int) -> bool:
+    """Whether sets of n and m elements with a symmetric difference of that size link."""
+    union = (n + m + difference) // 2
+    return 100 * (union - difference) >= percent * union
+
+
+MEMBERS = "pivot long, node long, n long, pivot_n long, core boolean, difference binary"
+
+
+def differences(rows: DataFrame, percent: int) -> DataFrame:
+    """(pivot, node, n, pivot_n, core, difference) of rows (pivot, node, n, pivot_n, a, b): a and b are the sets, or
+    their differences from any third one; core tells whether node and pivot link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, core, differences = [], [], []
-            for p, x in zip(b.column(2), b.column(3), strict=True):
-                p, x = np.frombuffer(p.as_py(), U), np.frombuffer(x.as_py(), U)
-                d = np.sort(np.concatenate([p, x]))
-                twin = d[1:] == d[:-1]
-                once = np.ones(len(d), bool)
-                once[1:] &= ~twin
-                once[:-1] &= ~twin
-                d = d[once]
-                n.append(len(x))
-                union = (len(p) + len(x) + len(d)) // 2
-                core.append(bool(linked(union - len(d), union, percent)))
-                differences.append(d.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(core, pa.bool_()), pa.array(differences, pa.binary())], names=["pivot", "node", "n", "core", "difference"])
-
-    return members.select("pivot", "node", "pivot_set", "set").mapInArrow(run, "pivot long, node long, n long, core boolean, difference binary")
-
-
-def inner_links(compared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between members of a region of which at least one is not linked to the pivot."""
-    open_regions = compared.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.col("core").cast("int")).alias("cores")).where("m > 1 and cores < m").select("pivot")
-    inside = settle(compared.join(afresh(open_regions, "pivot"), "pivot"), "open")
+        for batch in batches:
+            core, out = [], []
+            for n, m, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                d = apart(np.frombuffer(a, U), np.frombuffer(b, U))
+                core.append(near(n, m, len(d), percent))
+                out.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(core, pa.bool_()), pa.array(out, pa.binary())], names=["pivot", "node", "n", "pivot_n", "core", "difference"])
+
+    return rows.select("pivot", "node", "n", "pivot_n", "a", "b").mapInArrow(run, MEMBERS)
+
+
+def leaf_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links in regions of a few members, which a task compares as they stream by, region after region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, held, found = None, [], []
+
+        def flush() -> None:
+            for i, (x, n, c, d) in enumerate(held):
+                for y, m, e, f in held[:i]:
+                    # the triangle inequality bounds the difference from below, sizes the similarity from above
+                    if c and e or 100 * min(n, m) < percent * max(n, m) or not near(n, m, abs(len(d) - len(f)), percent):
+                        continue
+                    if near(n, m, len(apart(d, f)), percent):
+                        found.append((x, y))
+
+        for batch in batches:
+            for p, x, n, c, d in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if p != pivot:
+                    flush()
+                    pivot, held = p, []
+                held.append((x, n, c, np.frombuffer(d, U)))
+        flush()
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return members.select("pivot", "node", "n", "core", "difference").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "a long, b long")
+
+
+def recentred(members: DataFrame, percent: int) -> DataFrame:
+    """Members under a new pivot: of each region the member least different from its pivot.
+
+    A pivot taken by chance carries its own edits into every difference; the member next to it, of a group of copies, is
+    the one with the fewest edits. Regions that choose the same pivot become one.
+    """
+    own = members.groupBy("pivot").agg(F.first("pivot_n").alias("n"))
+    whole = members.select("pivot", "node", "n", "difference").union(own.select("pivot", F.col("pivot").alias("node"), "n", F.unhex(F.lit("")).alias("difference")))
+    chosen = members.groupBy("pivot").agg(F.min(F.struct(F.octet_length("difference").alias("size"), "node")).alias("c")).select(F.col("pivot"), F.col("c.node").alias("node"))
+    centre = members.join(chosen, ["pivot", "node"]).groupBy("pivot").agg(F.first("node").alias("centre"), F.first("n").alias("pivot_n"), F.first("difference").alias("b"))
+    rows = whole.join(afresh(centre, "pivot"), "pivot").where("node != centre")
+    return differences(rows.select(F.col("centre").alias("pivot"), "node", "n", "pivot_n", F.col("difference").alias("a"), "b"), percent).dropDuplicates(["pivot", "node"])
+
+
+def prefix_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links in regions of any size, of which at least one end is not linked to the pivot."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,37 +290,38 @@ def inner_links(compared: DataFrame, percent: int) -> DataFrame:
             at = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64))], names=["pivot", "node", "element"])
 
-    each = inside.select("pivot", "node", "difference").mapInArrow(elements, "pivot long, node long, element long")
+    each = members.select("pivot", "node", "difference").mapInArrow(elements, "pivot long, node long, element long")
     often = each.groupBy("pivot", "element").count().where("count > 1")
     # the rare elements come first and, with one holder, find no partner: only their number counts for the prefix
     shared = each.join(often, ["pivot", "element"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("count", "element"))).alias("shared"))
     p = percent
     at_most = F.expr(f"n * {100 - p} div {p}")  # of the difference between the member and any partner
     size = F.expr("octet_length(difference) div 8")
-    by_core = F.expr(f"octet_length(difference) * {p} div 8 div {100 + p} + 1")  # more than half of 1 - (1-t)/(1+t) of it is shared
+    by_core = F.expr(f"octet_length(difference) * {p} div 8 div {100 + p} + 1")  # p / (100 + p) of it and more is shared
     least = F.greatest(F.lit(1), size - at_most, F.when(F.col("core"), by_core).otherwise(F.lit(1)))
     prefix = size - least + 1 - (size - F.size("shared"))
-    held = inside.join(shared, ["pivot", "node"]).withColumn("size", size).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    probes = held.select("pivot", "node", "core", "size", "n", F.explode(F.expr("slice(shared, 1, prefix)")).alias("s")).select("pivot", "node", "core", "size", "n", F.col("s.element").alias("element"))
+    held = members.join(shared, ["pivot", "node"]).withColumn("size", size).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    probes = held.select("pivot", "node", "core", "size", "n", F.size("shared").alias("all"), F.posexplode(F.expr("slice(shared, 1, prefix)")).alias("at", "s"))
+    # rest: how many elements, this one and those after it, others may share; where a pair first meets, they share no more
+    probes = settle(probes.select("pivot", "node", "core", "size", "n", (F.col("all") - F.col("at")).alias("rest"), F.col("s.element").alias("element")), "probes")
     x = probes.where("not core")
-    y = probes.select("pivot", "element", *[F.col(c).alias(f"{c}_2") for c in ("node", "core", "size", "n")])
-    fits = f"(n + n_2) * {100 - p} >= abs(size - size_2) * {100 + p} and 100 * least(n, n_2) >= {p} * greatest(n, n_2)"
-    pairs = x.join(y, ["pivot", "element"]).where("node != node_2 and (core_2 or node < node_2)").where(fits).select("pivot", "node", "node_2").distinct()
-    both = pairs.join(inside.select("pivot", "node", "n", "difference"), ["pivot", "node"]).join(inside.select("pivot", F.col("node").alias("node_2"), F.col("n").alias("n_2"), F.col("difference").alias("difference_2")), ["pivot", "node_2"])
+    y = probes.select("pivot", "element", *[F.col(c).alias(f"{c}_2") for c in ("node", "core", "size", "n", "rest")])
+    fits = f"(n + n_2) * {100 - p} >= (size + size_2 - 2 * least(rest, rest_2)) * {100 + p} and (n + n_2) * {100 - p} >= abs(size - size_2) * {100 + p} and 100 * least(n, n_2) >= {p} * greatest(n, n_2)"
+    pairs = settle(x.join(y, ["pivot", "element"]).where("node != node_2 and (core_2 or node < node_2)").where(fits).select("pivot", "node", "node_2").distinct(), "pairs")
+    both = pairs.join(members.select("pivot", "node", "n", "difference"), ["pivot", "node"]).join(members.select("pivot", F.col("node").alias("node_2"), F.col("n").alias("n_2"), F.col("difference").alias("difference_2")), ["pivot", "node_2"])
+    found = differences(both.select(F.col("node").alias("pivot"), F.col("node_2").alias("node"), F.col("n_2").alias("n"), F.col("n").alias("pivot_n"), F.col("difference").alias("a"), F.col("difference_2").alias("b")), percent)
+    return found.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (n, m, d, f) in enumerate(zip(*(b.column(j).to_pylist() for j in range(2, 6)), strict=True)):
-                d, f = np.frombuffer(d, U), np.frombuffer(f, U)
-                z = np.sort(np.concatenate([d, f]))
-                apart = len(z) - 2 * int((z[1:] == z[:-1]).sum())
-                union = (n + m + apart) // 2
-                ok[i] = linked(union - apart, union, percent)
-            ok = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    return both.select(F.col("node").alias("a"), F.col("node_2").alias("b"), "n", "n_2", "difference", "difference_2").mapInArrow(verify, "a long, b long")
+def inner_links(compared: DataFrame, params: JaccardParams) -> DataFrame:
+    """(a, b): links inside regions beside those to the pivots."""
+    sizes = compared.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.col("core").cast("int")).alias("cores")).where("m > 1 and cores < m").select("pivot", "m")
+    inside = compared.join(afresh(sizes, "pivot"), "pivot")
+    leaves = leaf_links(inside.where(F.col("m") <= params.leaf), params.percent)
+    large = settle(recentred(settle(inside.where(F.col("m") > params.leaf).drop("m"), "large"), params.percent), "recentred")
+    to_centre = large.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    still_open = large.groupBy("pivot").agg(F.max(~F.col("core")).alias("open")).where("open").select("pivot")
+    return leaves.union(to_centre).union(prefix_links(large.join(afresh(still_open, "pivot"), "pivot"), params.percent))
 
 
 def join(documents: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -283,9 +334,10 @@ def join(documents: DataFrame, params: JaccardParams = JaccardParams()) -> DataF
     nodes = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
     first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     contents = settle(shingles(documents, nodes.join(first, "node"), params).dropDuplicates(["node"]), "contents")
-    both = members.join(contents, "node").join(contents.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
-    compared = settle(compare(both, params.percent), "compared")
-    links = compared.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(inner_links(compared, params.percent))
+    both = members.join(contents.select("node", F.col("set").alias("a")), "node").join(contents.select(F.col("node").alias("pivot"), F.col("set").alias("b")), "pivot")
+    both = both.withColumn("n", F.expr("octet_length(a) div 8")).withColumn("pivot_n", F.expr("octet_length(b) div 8"))
+    compared = settle(differences(both, params.percent), "compared")
+    links = compared.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(inner_links(compared, params))
     # rows with one doc_id and several sets tie these sets together
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("m")).where("m > 1 and a != b").select("doc_id", "a")
     ties = known.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").select("a", "b")
