@@ -163,7 +163,14 @@ def spans(text: Column | str, query: Column | str) -> Column:
     """Merged [start, end) spans of all hits, overlapping ones too, of the query's lower-case words."""
     t = F.lower(F.coalesce(col(text), F.lit("")))
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col(query), F.lit(""))), r"\s+"), lambda w: w != ""))
-    at = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), lambda i: t.substr(i, F.length(w)) == w)
+    # cut before each hit, overlapping ones too; the pieces' lengths add up to the places
+    quoted = lambda w: F.concat(F.lit("(?=\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = lambda w: F.split(t, quoted(w))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    step = lambda acc, piece: F.struct((acc["next"] + F.length(piece)).alias("next"), F.array_append(acc["at"], acc["next"] + F.length(piece)).alias("at"))
+    # the last place is the end of the text, no hit; the first character is no cut, but may be one
+    cuts = lambda w: F.aggregate(pieces(w), start, step, lambda acc: F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1))
+    at = lambda w: F.when(F.startswith(t, w), F.concat(F.array(F.lit(1)), cuts(w))).otherwise(cuts(w))
     hits = F.array_sort(F.flatten(F.transform(words, lambda w: F.transform(at(w), lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(w)).alias("end"))))))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return F.aggregate(

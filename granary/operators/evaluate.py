@@ -71,7 +71,7 @@ def mine(results: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame
 def label_counts(scores: DataFrame) -> DataFrame:
     """(method, correct, partial, incorrect, unscored) from (query, method, score); unknown labels are unscored."""
     known = F.when(F.col("score").isin(*LABELS), F.col("score")).otherwise("unscored")
-    return scores.withColumn("label", known).groupBy("method").pivot("label", list(LABELS)).agg(F.count("*")).na.fill(0)
+    return scores.withColumn("label", known).groupBy("method").pivot("label", list(LABELS)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def label_template(queries: DataFrame, methods: DataFrame) -> DataFrame:
