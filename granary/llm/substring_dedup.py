@@ -2,7 +2,7 @@
 
 Every document is a reference, cut into non-overlapping blocks of (window + 1) // 2 words; any window of `window` words
 holds a whole block. All rolling block-sized windows probe the blocks. Where a probe hits, the windows around it are
-extended: their full word sequences, under two independent 64-bit hashes, are looked up exactly, and what neighbouring
+extended: their full word sequences, under two independent hashes of 64 and 32 bits, are looked up, and what neighbouring
 repeated windows cover together is a maximal repeat.
 
 Texts are dealt to buckets of bounded size by a hash of the row. Buckets send their distinct keys, packed, to the parts
@@ -51,6 +51,26 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint32, n).astype(U) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(U) << U(32))
 
 
+def stowed(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> bytes:
+    """Windows (64 and 32 bits of hash) with doc_ids, as offsets of four bytes where their range allows."""
+    base, wide = int(ids.min()), int(ids.max()) - int(ids.min()) >= 1 << 32
+    rest = (ids.view(U) - U(base & (1 << 64) - 1)).astype(U if wide else np.uint32)
+    return np.array([len(ids), base], np.int64).tobytes() + one.tobytes() + two.astype(np.uint32).tobytes() + rest.tobytes()
+
+
+def unstowed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, doc_ids and index of the blob, of all blobs end to end."""
+    one, two, ids, sizes = [], [], [], []
+    for b in blobs:
+        n, base = np.frombuffer(b, np.int64, 2).tolist()
+        one.append(np.frombuffer(b, U, n, 16))
+        two.append(np.frombuffer(b, np.uint32, n, 16 + 8 * n))
+        rest = np.frombuffer(b, np.uint32 if len(b) == 16 + 16 * n else U, n, 16 + 12 * n).astype(U)
+        ids.append((rest + U(base & (1 << 64) - 1)).view(np.int64))
+        sizes.append(n)
+    return np.concatenate(one), np.concatenate(two), np.concatenate(ids), np.repeat(np.arange(len(blobs)), sizes)
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
@@ -102,7 +122,7 @@ class Batch:
         ok = self.words.inside(self.window)
         ok &= self.known[self.owner[: len(ok)]]
         at = np.flatnonzero(ok if only is None else ok & only[: len(ok)])
-        return self.words.rolling(self.window, 0)[at], self.words.rolling(self.window, self.window)[at], at
+        return self.words.rolling(self.window, 0)[at], self.words.rolling(self.window, self.window)[at].astype(np.uint32), at
 
 
 def dedup(documents: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
@@ -165,15 +185,13 @@ def dedup(documents: DataFrame, params: SubstringParams = SubstringParams()) ->
         one, two, ids = one[order], two[order], ids[order]
         first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, bool)
         one, two, ids = one[first], two[first], ids[first]
-        found = [(p, one[i].tobytes() + two[i].tobytes() + ids[i].tobytes()) for p, i in by_part(one, parts)]
+        found = [(p, stowed(one[i], two[i], ids[i])) for p, i in by_part(one, parts)]
         return as_table(sent, [p for p, _ in found], [key[0].as_py()] * len(found), [b for _, b in found])
 
     def least(key: tuple, table: pa.Table) -> pa.Table:
         """To each bucket, the windows that a smaller doc_id elsewhere has, with the smallest one."""
         who = table.column("bucket").to_pylist()
-        blobs = [np.frombuffer(b.as_py(), U).reshape(3, -1) for b in table.column("blob")]
-        one, two, ids = (np.concatenate([b[k] for b in blobs]) for k in range(3))
-        ids, source = ids.view(np.int64), np.repeat(np.arange(len(blobs)), [b.shape[1] for b in blobs])
+        one, two, ids, source = unstowed([b.as_py() for b in table.column("blob")])
         order = np.lexsort((ids, two, one))
         one, two, ids, source = one[order], two[order], ids[order], source[order]
         begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
@@ -182,7 +200,7 @@ def dedup(documents: DataFrame, params: SubstringParams = SubstringParams()) ->
         tell = tell[np.argsort(source[tell], kind="stable")]
         begin = runs(source[tell])
         cut = np.split(tell, begin[1:]) if len(begin) else []
-        return as_table(sent, [key[0].as_py()] * len(cut), [who[source[c[0]]] for c in cut], [one[c].tobytes() + two[c].tobytes() + smallest[c].tobytes() for c in cut])
+        return as_table(sent, [key[0].as_py()] * len(cut), [who[source[c[0]]] for c in cut], [stowed(one[c], two[c], smallest[c]) for c in cut])
 
     result = StructType([*documents.select(*names).schema.fields, *StructType.fromDDL(ADDED).fields])
 
@@ -198,10 +216,9 @@ def dedup(documents: DataFrame, params: SubstringParams = SubstringParams()) ->
         smallest = np.empty(len(one), np.int64)
         smallest[order] = filled(begin, ids[order][begin], len(one))
         if right.num_rows:
-            told = [np.frombuffer(b.as_py(), U).reshape(3, -1) for b in right.column("blob")]
-            k1, k2, low = (np.concatenate([b[k] for b in told]) for k in range(3))
+            k1, k2, low, _ = unstowed([b.as_py() for b in right.column("blob")])
             o = np.lexsort((k2, k1))
-            k1, k2, low = k1[o], k2[o], low[o].view(np.int64)
+            k1, k2, low = k1[o], k2[o], low[o]
             i = np.minimum(np.searchsorted(k1, one), len(k1) - 1)
             for _ in range(8):  # windows of one first and another second hash: some steps on, in the odd case
                 step = (k1[i] == one) & (k2[i] < two) & (i + 1 < len(k1))
