@@ -73,17 +73,15 @@ def record(row: dict, params: WarcParams) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def described(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to."""
+def revisits(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
+    """(page_id, payload_digest, refers_to) of the pages that repeat a payload. Digests move, payloads don't."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "utf-8")).alias("payload_digest"))
-    # copies are looked up by digest and length; the sizes of either join side are unknown, so AQE picks and splits it
-    large = rows.where(F.col("payload_bytes") >= params.dedup_bytes).where("page_id is not null")
-    several = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last")
-    several = several.select(F.concat("payload_digest", F.lit("")).alias("d"), "payload_bytes", "last")
-    found = rows.join(several.withColumnRenamed("payload_bytes", "b"), (rows.payload_digest == F.col("d")) & (rows.payload_bytes == F.col("b")), "left")
-    again = F.col("last").isNotNull() & (F.col("page_id") < F.col("last"))
-    return found.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
+    large = pages.where("page_id is not null").where(F.octet_length(html) >= params.dedup_bytes).select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).alias("size"), F.sha1(F.encode(html, "utf-8")).alias("payload_digest"))
+    several = large.groupBy("payload_digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("first < refers_to")
+    # named anew, so that the join shuffles both sides and AQE can split a payload that a third of all pages have
+    several = several.select(F.concat("payload_digest", F.lit("")).alias("d"), F.col("size").alias("s"), "refers_to")
+    found = large.join(several, (F.col("payload_digest") == F.col("d")) & (F.col("size") == F.col("s"))).where("page_id < refers_to")
+    return found.select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def borders(rows: DataFrame, params: WarcParams) -> list[int]:
@@ -108,11 +106,14 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
     spark = pages.sparkSession
     prepare(spark)
     starts = borders(pages, params)
-    rows = described(pages, params)
     shard = F.lit(0)
     if starts:  # at most as many borders as the histogram has cells
         shard = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("page_id")))
-    dealt = rows.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard).cast("int"))
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(F.encode(html, "utf-8")).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), "url", html.alias("html"))
+    # a note on what a page revisits travels to its shard by itself and sorts right before it: pages are shuffled once
+    notes = revisits(pages, params).select("page_id", "payload_digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    dealt = rows.union(notes).withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = filesystem(folder)
@@ -125,8 +126,14 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
             system.move(out[2], f"{top}/{name}")
             done.append((name, out[4], out[5], out[6].hexdigest()))
 
+        note: tuple = ()
         for b in batches:
             for row in b.to_pylist():
+                if row["html"] is None:
+                    note = (row["page_id"], row["payload_digest"], row["refers_to"])
+                    continue
+                again = note[:2] == (row["page_id"], row["payload_digest"])
+                row |= {"payload_bytes": len(row["html"].encode()), "record_type": "revisit" if again else "response", "refers_to": note[2] if again else None}
                 if out is None or out[0] != row["shard"] or out[5] >= params.file_bytes:
                     if out is not None:
                         close()
@@ -147,7 +154,7 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
     system, top = filesystem(folder)
     system.create_dir(f"{top}/temporary")
     n = len(starts) + 1
-    files = dealt.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "payload_digest").mapInArrow(run, "file string, records long, bytes long, sha256 string")
+    files = dealt.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "payload_digest", F.col("html").isNotNull(), "url").mapInArrow(run, "file string, records long, bytes long, sha256 string")
     files.coalesce(n).write.mode("overwrite").parquet(f"{folder}/manifest")
     system.delete_dir(f"{top}/temporary")
     return spark.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{folder}/manifest")
