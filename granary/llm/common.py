@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import ship
+
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,6 +33,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of long texts must fit beside a JVM heap. Values that the user set stay."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
@@ -177,10 +180,12 @@ def summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices) for the parts that occur: keys are dealt by their high bits."""
+    if not len(keys):
+        return
     part = ((keys >> U(32)) * U(parts)) >> U(32)
     order = np.argsort(part, kind="stable")
     part = part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
         yield int(part[a]), order[a:b]
 
