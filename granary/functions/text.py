@@ -159,13 +159,16 @@ def citations(answer: Column | str, excerpts: Column) -> Column:
     return F.array_distinct(F.filter(numbers, lambda n: n.isNotNull() & (n >= 1) & (n <= excerpts)))
 
 
+def before(word: Column) -> Column:
+    """A pattern that cuts a text before each hit of a word, overlapping ones too."""
+    return F.concat(F.lit("(?=\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+
 def spans(text: Column | str, query: Column | str) -> Column:
     """Merged [start, end) spans of all hits, overlapping ones too, of the query's lower-case words."""
     t = F.lower(F.coalesce(col(text), F.lit("")))
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col(query), F.lit(""))), r"\s+"), lambda w: w != ""))
-    # cut before each hit, overlapping ones too; the pieces' lengths add up to the places
-    quoted = lambda w: F.concat(F.lit("(?=\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    pieces = lambda w: F.split(t, quoted(w))
+    pieces = lambda w: F.split(t, before(w))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
     step = lambda acc, piece: F.struct((acc["next"] + F.length(piece)).alias("next"), F.array_append(acc["at"], acc["next"] + F.length(piece)).alias("at"))
     # the last place is the end of the text, no hit; the first character is no cut, but may be one

@@ -7,6 +7,7 @@ places, then by chunk_id, so ties are settled; row_number() <= k plans as a grou
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,22 +42,32 @@ def build(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Corpus:
     return Corpus(chunks, n, tokens, idf, simhash.fingerprints(tf, idf, chunks), minhash.signatures(minhash.shingle_rows(tokens), config.num_perm), vocabulary, weights.vectors(grams, vocabulary))
 
 
-@dataclass(frozen=True)
 class Queries:
-    """Encoded queries (query_id, text)."""
+    """Queries (query_id, text) with their encodings, each planned when a ranker first asks for it."""
 
-    rows: DataFrame
-    tokens: DataFrame
-    fingerprints: DataFrame
-    signatures: DataFrame
-    vectors: DataFrame
+    def __init__(self, rows: DataFrame, corpus: Corpus, config: EngineConfig):
+        self.rows, self.corpus, self.config = rows, corpus, config
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return self.rows.select("query_id", T.tokenize("text").alias("terms"))
+
+    @cached_property
+    def fingerprints(self) -> DataFrame:
+        tf = self.tokens.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+        return simhash.fingerprints(tf, self.corpus.idf, self.rows, "query_id")
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        return minhash.signatures(minhash.shingle_rows(self.tokens, "query_id"), self.config.num_perm, "query_id")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return weights.vectors(weights.grams(self.rows, "query_id"), self.corpus.vocabulary, "query_id")
 
 
 def encode(queries: DataFrame, corpus: Corpus, config: EngineConfig = EngineConfig()) -> Queries:
-    tokens = queries.select("query_id", T.tokenize("text").alias("terms"))
-    tf = tokens.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    signatures = minhash.signatures(minhash.shingle_rows(tokens, "query_id"), config.num_perm, "query_id")
-    return Queries(queries, tokens, simhash.fingerprints(tf, corpus.idf, queries, "query_id"), signatures, weights.vectors(weights.grams(queries, "query_id"), corpus.vocabulary, "query_id"))
+    return Queries(queries, corpus, config)
 
 
 def top(rows: DataFrame, score: str, k: int) -> DataFrame:
@@ -115,8 +126,7 @@ def lsh(corpus: Corpus, queries: Queries, config: EngineConfig, source_file: str
 def without(queries: Queries, found: DataFrame) -> Queries:
     """The queries that found nothing."""
     gone = found.select("query_id").distinct()
-    cut = lambda df: df.join(gone, "query_id", "left_anti")
-    return Queries(cut(queries.rows), cut(queries.tokens), cut(queries.fingerprints), cut(queries.signatures), cut(queries.vectors))
+    return Queries(queries.rows.join(gone, "query_id", "left_anti"), queries.corpus, queries.config)
 
 
 def minhash_ranked(corpus: Corpus, queries: Queries, k: int, config: EngineConfig, source_file: str | None = None, fallback: bool = True) -> DataFrame:
@@ -177,10 +187,33 @@ def fused(results: DataFrame, pagerank: DataFrame, config: EngineConfig = Engine
     return both.withColumn("rank", F.row_number().over(order))
 
 
+def highlights(pairs: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, highlight_spans) of distinct pairs with text and query: merged spans of the query's words.
+
+    A text is cut before each hit of a word; running sums of the pieces' lengths are the places, and runs of spans that
+    touch become one. All by windows inside one pair, so a pair with thousands of hits costs no more than its hits.
+    """
+    pair = ["query_id", "chunk_id"]
+    words = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))
+    each = pairs.select(*pair, F.lower("text").alias("t"), F.explode(words).alias("w"))
+    pieces = each.select(*pair, "w", F.startswith("t", "w").alias("first"), F.posexplode(F.split("t", T.before(F.col("w")))).alias("n", "piece"))
+    until = Window.partitionBy(*pair, "w").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    hits = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(until), F.lit(0)).cast("int")).where("n > 0 or first")
+    hits = hits.select(*pair, "start", (F.col("start") + F.length("w")).alias("end"))
+    order = Window.partitionBy(*pair).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    isles = hits.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("isle", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = isles.groupBy(*pair, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("highlight_spans"))
+
+
 def hydrated(results: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """results with text, source_file and highlight spans (of the query as asked); unknown chunks give an empty text."""
     both = results.join(chunks, "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    return both.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_file", F.coalesce("source_file", F.lit(""))).withColumn("highlight_spans", T.spans("text", "query")).drop("query")
+    both = both.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("source_file", F.coalesce("source_file", F.lit("")))
+    spans = highlights(both.select("query_id", "chunk_id", "text", "query").dropDuplicates(["query_id", "chunk_id"]))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return both.join(spans, ["query_id", "chunk_id"], "left").withColumn("highlight_spans", F.coalesce("highlight_spans", none)).drop("query")
 
 
 def merged(results: DataFrame, k: int, score: str = "score") -> DataFrame:

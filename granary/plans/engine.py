@@ -4,28 +4,65 @@ from __future__ import annotations
 
 import hashlib
 import time
-from dataclasses import asdict, replace
+from dataclasses import asdict
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.config import EngineConfig
-from granary.operators import graph, retrieve, simhash
+from granary.operators import graph, minhash, retrieve, simhash, weights
 from granary.operators.retrieve import Corpus
 
 TABLES = ("chunks", "tokens", "idf", "fingerprints", "signatures", "vocabulary", "vectors", "pagerank")
 
 
-def materialised(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Corpus:
-    """A corpus whose token arrays are written once, since every index starts from them, and read as columns after."""
-    corpus = retrieve.build(chunks, config)
-    tokens = graph.shared(corpus.tokens)
-    from granary.operators import minhash, weights
+class Materialised:
+    """A corpus whose indexes are written to the shared folder when a ranker first asks for them, and read as tables."""
 
-    tf = weights.term_frequency(tokens)
-    idf = weights.idf(tf, corpus.documents)
-    return replace(corpus, tokens=tokens, idf=idf, fingerprints=simhash.fingerprints(tf, idf, chunks), signatures=minhash.signatures(minhash.shingle_rows(tokens), config.num_perm))
+    def __init__(self, chunks: DataFrame, config: EngineConfig = EngineConfig()):
+        self.chunks, self.config = chunks, config
+
+    @cached_property
+    def documents(self) -> int:
+        return self.chunks.count()
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return graph.shared(weights.tokens(self.chunks))
+
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        return graph.shared(weights.term_frequency(self.tokens))
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        return graph.shared(weights.idf(self.frequencies, self.documents))
+
+    @cached_property
+    def fingerprints(self) -> DataFrame:
+        return graph.shared(simhash.fingerprints(self.frequencies, self.idf, self.chunks))
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        return graph.shared(minhash.signatures(minhash.shingle_rows(self.tokens), self.config.num_perm))
+
+    @cached_property
+    def grams(self) -> DataFrame:
+        return graph.shared(weights.grams(self.chunks))
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return graph.shared(weights.vocabulary(self.grams, self.documents, self.config))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return graph.shared(weights.vectors(self.grams, self.vocabulary))
+
+
+def materialised(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Materialised:
+    return Materialised(chunks, config)
 
 
 class Engine:
@@ -61,8 +98,6 @@ class Engine:
             steps.append((name, "skipped" if done else "built", time.perf_counter() - began))
             return self.table(version, name)
 
-        from granary.operators import minhash, weights
-
         rows = store("chunks", lambda: chunks)
         n = rows.count()
         tokens = store("tokens", lambda: weights.tokens(rows))

@@ -47,6 +47,9 @@ def test_spans(spark):
     df = spark.createDataFrame([("aaaa", "aa"), ("see the GPA", "gpa the"), ("abab", "ab ba"), ("x", ""), (None, "x")], "t string, q string")
     got = [[(s["start"], s["end"]) for s in r[0]] for r in df.select(T.spans("t", "q")).collect()]
     assert got == [[(0, 4)], [(4, 7), (8, 11)], [(0, 4)], [], []]
+    pairs = spark.createDataFrame([(i, 0, *r) for i, r in enumerate([("aaaa", "aa"), ("see the GPA", "gpa the"), ("abab", "ab ba"), ("x", ""), (r"a\E.b", r"\E. zz")])], "query_id long, chunk_id long, text string, query string")
+    got = {r["query_id"]: [(s["start"], s["end"]) for s in r["highlight_spans"]] for r in retrieve.highlights(pairs).collect()}
+    assert got == {0: [(0, 4)], 1: [(4, 7), (8, 11)], 2: [(0, 4)], 4: [(1, 4)]}
 
 
 def test_porter():
