@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.llm import ann, bpe, embedding_dedup, language_id, license_scan, ngram_jaccard, packing, quality_classifier, substring_dedup, warc
 from granary.llm.common import read
 
-HELD_OUT = F.expr(quality_classifier.HELD_OUT)
+HELD_OUT = f"{quality_classifier.HELD_OUT} AS held_out"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = language_id.fit(documents)
-    return language_id.predict(documents.select("doc_id", "text", HELD_OUT.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.predict(documents.select("doc_id", "text", F.expr(HELD_OUT)), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = quality_classifier.fit(documents, read(spark, sf_dir, "labels"))
-    return quality_classifier.score(documents.select("doc_id", "text", HELD_OUT.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+    return quality_classifier.score(documents.select("doc_id", "text", F.expr(HELD_OUT)), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
