@@ -1,21 +1,30 @@
 """Licence scan: normalised text compared to licence templates by the Dice coefficient over word bigrams.
 
-Text is lower-cased and cut to words of letters and digits, line by line. A template of m lines is compared to every run
-of m consecutive lines that have words, so a notice is found wherever it stands. Sizes bound the coefficient from above
-(at most 2 min / (a + b) for sets of a and b bigrams), which prunes templates before any bigram is compared.
+Text is lower-cased and cut to words of letters and digits; lines and punctuation play no part in the comparison. A
+template is compared to every window of words that can reach the threshold, so a notice is found wherever it stands:
+wrapped, inside a longer line, or followed by more text. Only windows that begin and end with something of the template
+count, as others are beaten by a shorter one. Texts that hold too few distinct bigrams of a template for any window to
+reach the threshold are left out before windows are made, which loses nothing.
 
-The Dice coefficient is over distinct bigrams, with one that marks the start and one the end of a run, so that notices
-of one word count too.
+The Dice coefficient is over distinct bigrams, with one that marks the start and one the end of a window, so that notices
+of one word count too. Templates are short notices and the full texts in the folder licenses.
 
-Defined cases: null and empty texts have no findings, as have lines of other words; a null doc_id is scanned like any;
-repeated rows are scanned each; equal coefficients go to the template named first in the alphabet.
+Of a template's windows that overlap, the likest is reported (then the earlier, then the shorter one); of different
+templates' windows of which half or more coincide, the likest (then the longer one, then the template named first in
+the alphabet). A short notice that stands in a full text is reported beside it.
+
+Defined cases: null and empty texts have no findings; a null doc_id is scanned like any; repeated rows are scanned each.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -49,61 +58,149 @@ TEMPLATES = {
     "BSD-2-Clause header": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer."],
 }
 
+#: Full licence texts, without the lines that name an owner.
+TEMPLATES |= {f"{p.stem} text": p.read_text(encoding="utf-8").split("\n") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 
 @dataclass(frozen=True)
 class LicenseParams:
     dice: float = 0.8
 
 
-def bigrams(words: list[str]) -> frozenset:
-    return frozenset(zip(["\x02", *words], [*words, "\x03"], strict=True)) if words else frozenset()
+@dataclass(frozen=True)
+class Template:
+    name: str
+    first: str
+    last: str
+    pairs: frozenset  # distinct bigrams, without the marks
+    size: int  # with them
+    most: int  # distinct bigrams of a window that reaches the threshold, marks included
+    need: int  # bigrams that such a window shares, marks left out
 
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], params: LicenseParams):
-        self.least = params.dice
-        self.by_lines: dict[int, list[tuple[str, frozenset]]] = {}
+        self.least = d = params.dice
+        self.templates = []
         for name in sorted(templates):
-            words = [w for line in templates[name] for w in WORD.findall(line.lower())]
-            self.by_lines.setdefault(len(templates[name]), []).append((name, bigrams(words)))
-        self.words = {w for group in self.by_lines.values() for _, t in group for b in t for w in b}
+            words = WORD.findall("\n".join(templates[name]).lower())
+            if words:
+                pairs = frozenset(zip(words, words[1:], strict=False))
+                n = len(pairs) + 2
+                # 2 s >= d (own + n) and own >= s bound s from below and own from above
+                self.templates.append(Template(name, words[0], words[-1], pairs, n, int(n * (2 - d) / d + 1e-9), int(np.ceil(d * n / (2 - d) - 1e-9)) - 2))
+        self.ids = {w: i for i, w in enumerate(sorted({w for t in self.templates for w in (t.first, *(x for p in t.pairs for x in p))}))}
+        found = sorted((self.ids[a] * len(self.ids) + self.ids[b], i) for i, t in enumerate(self.templates) for a, b in t.pairs)
+        self.keys, begin = np.unique(np.array([k for k, _ in found], np.int64), return_index=True)
+        self.owners, self.begin = np.array([i for _, i in found], np.int64), np.append(begin, len(found))
+        self.need = np.array([t.need for t in self.templates])
+        self.single = {}  # templates of so few words that a window may share the marks alone
+        for i, t in enumerate(self.templates):
+            if t.need <= 0:
+                self.single.setdefault(self.ids[t.first], []).append(i)
 
     def scan(self, text: str) -> list[dict]:
-        cut = [(i, ws) for i, line in enumerate(text.split("\n")) if (ws := self.cut(line)) is not None]
+        """license, dice, line (from 0) and lines of the windows at least `dice` like a template."""
+        text = text.lower()
+        words = WORD.findall(text)
+        which = self.candidates(words)
+        if not len(which):
+            return []
+        seen: dict[str, int] = {}
+        own = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+        pair = own[:-1] * len(seen) + own[1:]
+        _, at = np.unique(pair, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        again = at[order[1:]] == at[order[:-1]]
+        before, final = np.full(len(pair), -1), np.ones(len(pair), bool)  # where a bigram stood last; whether it comes no more
+        before[order[1:][again]] = order[:-1][again]
+        final[order[:-1][again]] = False
         found = []
-        for m, group in self.by_lines.items():
-            for at in range(len(cut) - m + 1):
-                run = cut[at : at + m]
-                if any(not ws for _, ws in run):
+        for t in (self.templates[i] for i in which):
+            shared = np.isin(pair, [seen[a] * len(seen) + seen[b] for a, b in t.pairs if a in seen and b in seen])
+            first, last = own == seen.get(t.first, -1), own == seen.get(t.last, -1)
+            found += [(*w, t.name) for w in self.windows(t, before, final, shared, first, last)]
+        kept = []
+        for i, j, dice, name in sorted(found, key=lambda w: (-w[2], w[0] - w[1], w[3])):
+            if all(2 * (min(j, y) - max(i, x)) < max(j, y) - min(i, x) for x, y, _, _ in kept):
+                kept.append((i, j, dice, name))
+        if not kept:
+            return []
+        breaks = [m.start() for m in regex.finditer("\n", text)]
+        line = np.searchsorted(breaks, [m.start() for m in WORD.finditer(text)])
+        return [{"license": name, "dice": dice, "line": int(line[i]), "lines": int(line[j - 1] - line[i] + 1)} for i, j, dice, name in sorted(kept)]
+
+    def candidates(self, words: list[str]) -> np.ndarray:
+        """The templates of which the text holds enough distinct bigrams."""
+        ids = np.fromiter(map(self.ids.get, words, itertools.repeat(-1)), np.int64, len(words))
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        small = [i for w in self.single if (ids == w).any() for i in self.single[w]]
+        if not both.any() or not len(self.keys):
+            return np.array(small, np.int64)
+        pair = np.unique(ids[:-1][both] * len(self.ids) + ids[1:][both])
+        at = np.searchsorted(self.keys, pair)
+        at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == pair]
+        n = np.bincount(np.concatenate([self.owners[self.begin[k] : self.begin[k + 1]] for k in at]), minlength=len(self.templates)) if len(at) else np.zeros(len(self.templates), np.int64)
+        return np.union1d(np.flatnonzero((n >= self.need) & (self.need > 0)), np.array(small, np.int64)).astype(np.int64)
+
+    def windows(self, t: Template, before: np.ndarray, final: np.ndarray, shared: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, float]]:
+        """(from, to, dice): the template's windows of words that don't overlap, likest first."""
+        out, todo = [], [(0, len(first))]
+        while todo:
+            lo, hi = todo.pop()
+            # distinct bigrams of the template from each word on, bounded from above
+            count = shared & final if hi == len(first) else shared
+            rest = np.append(np.cumsum(count[lo : hi - 1][::-1])[::-1], 0)
+            starts = lo + np.flatnonzero((np.append(shared[lo : hi - 1], False) | first[lo:hi]) & (rest >= t.need))
+            likely, past = [], -1
+            for i in starts.tolist():
+                if i < past:
                     continue
-                own = bigrams([w for _, ws in run for w in ws])
-                best = None
-                for name, t in group:
-                    if 2 * min(len(own), len(t)) < self.least * (len(own) + len(t)):
-                        continue
-                    dice = 2 * len(own & t) / (len(own) + len(t))
-                    if dice >= self.least and (best is None or dice > best[1]):
-                        best = (name, dice)
-                if best:
-                    found.append({"license": best[0], "dice": best[1], "line": run[0][0], "lines": run[-1][0] - run[0][0] + 1})
-        return found
-
-    def cut(self, line: str) -> list[str] | None:
-        """The words of a line; none (an empty list) if it shares no word with a template, null without words."""
-        words = WORD.findall(line.lower())
-        if not words:
+                reach = self.reach(t, i, hi, before, shared, first, last)
+                if reach:
+                    likely.append((i, *reach))
+                    past = reach[0] if reach[1] == 1 else past  # nothing inside is likelier
+            while likely:  # groups of overlapping windows: the best one, then what it leaves on its two sides
+                end, n = likely[0][3], 1
+                while n < len(likely) and likely[n][0] < end:
+                    end, n = max(end, likely[n][3]), n + 1
+                group, likely = likely[:n], likely[n:]
+                i, j, dice, _ = min(group, key=lambda w: (-w[2], w[0], w[1]))
+                out.append((i, j, dice))
+                todo += [(a, b) for a, b in ((group[0][0], i), (j, end)) if b > a]
+        return out
+
+    def reach(self, t: Template, i: int, hi: int, before: np.ndarray, shared: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[int, float, int] | None:
+        """The best end of a window from word i on, its coefficient, and the farthest end that reaches the threshold."""
+        span = 2 * t.most
+        while True:
+            to = min(hi, i + span)
+            new = before[i : to - 1] < i
+            size = np.concatenate([[2], np.cumsum(new) + 2])
+            if to == hi or size[-1] > t.most:
+                break
+            span *= 2
+        have = np.concatenate([[0], np.cumsum(new & shared[i : to - 1])]) + last[i:to] + first[i]
+        dice = 2 * have / (size + t.size)
+        ok = np.flatnonzero(dice >= self.least)
+        if not len(ok):
             return None
-        return words if not self.words.isdisjoint(words) else []
+        best = int(dice.argmax())
+        return i + best + 1, float(dice[best]), i + int(ok[-1]) + 1
+
+
+@cache
+def default_scanner(params: LicenseParams) -> Scanner:
+    return Scanner(TEMPLATES, params)
 
 
 def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None, params: LicenseParams = LicenseParams()) -> DataFrame:
-    """doc_id, license, dice, line (from 0), lines: the runs of lines at least `dice` like a template, with the likest one."""
+    """doc_id, license, dice, line (from 0), lines: where windows at least `dice` like a template stand, with the likest one."""
     spark = documents.sparkSession
     prepare(spark)
-    templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, params)
+        scanner = default_scanner(params) if templates is None else Scanner(templates, params)
         for b in batches:
             rows = [(d, f["license"], f["dice"], f["line"], f["lines"]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for f in scanner.scan(t)]
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()]

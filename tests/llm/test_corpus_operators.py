@@ -259,6 +259,39 @@ def test_license_scan(spark):
         assert name in {f["license"] for f in scanner.scan("\n".join(lines))}
 
 
+def test_license_scan_wherever_words_stand(spark):
+    t = license_scan.TEMPLATES
+    full, gpl = " ".join(t["MIT text"]), t["GPL-3.0"][0]
+    wrap = lambda s, n: "\n".join(" ".join(w) for w in zip(*[iter((s.split() + [""] * n)[: -(-len(s.split()) // n) * n])] * n, strict=True))
+    texts = [wrap(full, 9), "Before it\n" + wrap(gpl, 5) + "\nafter it", "Copyright 2020 Jane Roe. Released under the MIT License. See elsewhere.", t["ISC"][0] + " More prose follows on the line.", f"{t['MIT'][0]} {t['MIT'][0]}"]
+    got = [(r["doc_id"], r["license"], r["line"]) for r in license_scan.scan(documents(spark, texts)).collect()]
+    assert {(0, "MIT text", 0), (0, "MIT notice", 0), (1, "GPL-3.0", 1), (2, "MIT", 0), (3, "ISC", 0)} <= set(got) and got.count((4, "MIT", 0)) == 2
+
+
+def test_license_windows_match_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        t = [rng.choice("abcde") for _ in range(rng.randint(1, 9))]
+        w = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(0, 3)):
+            w += [c if rng.random() < 0.9 else rng.choice("abcxyz") for c in t] + [rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))]
+        marked = lambda x: set(zip(["<", *x], [*x, ">"], strict=True))
+        left = {}
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                own = marked(w[i:j])
+                dice = 2 * len(own & marked(t)) / (len(own) + len(marked(t)))
+                if dice >= 0.8:
+                    left[i, j] = dice
+        expected = []
+        while left:
+            (i, j), dice = min(left.items(), key=lambda x: (-x[1], x[0]))
+            expected.append(round(dice, 9))
+            left = {k: v for k, v in left.items() if k[1] <= i or k[0] >= j}
+        got = license_scan.Scanner({"T": [" ".join(t)]}, license_scan.LicenseParams()).scan(" ".join(w))
+        assert sorted(round(f["dice"], 9) for f in got) == sorted(expected)
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 600
     rows = [(1, "http://a/b c", long), (2, None, long), (3, "u\r\nX: y", "short"), (4, "u", "short"), (5, "u", None), (6, "u", long), (None, "u", long), (7, "u", "y" * 5000), (3, "u", "again")]
