@@ -29,7 +29,6 @@ class EngineConfig:
     pagerank_alpha: float = 0.85
     pagerank_iterations: int = 20
     fim_support: int = 3
-    fim_share: float = 0.1
     fim_top_n: int = 3
     fim_min_idf: float = 3.0
     expand_queries: bool = False
@@ -43,7 +42,3 @@ class EngineConfig:
             raise ValueError("lsh_bands * lsh_rows must be num_perm")
         if not 1 <= self.top_k <= 50:
             raise ValueError("top_k must be between 1 and 50")
-
-    def support(self, documents: int) -> int:
-        """The least support of an itemset: a share of the documents, and an absolute least."""
-        return max(self.fim_support, -(-int(documents * self.fim_share * 1000) // 1000))

@@ -339,7 +339,7 @@ def baskets(spark: SparkSession, d: str) -> tuple[DataFrame, int, DataFrame]:
     rows = chunks(spark, d)
     n = rows.count()
     tf = weights.term_frequency(tokens(spark, d))
-    return tf.select("chunk_id", "term"), CONFIG.support(n), weights.idf(tf, n)
+    return tf.select("chunk_id", "term"), CONFIG.fim_support, weights.idf(tf, n)
 
 
 @query("SELECT a, support FROM item")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from granary import registry
 from granary.config import EngineConfig
 from granary.functions import stem
 from granary.functions import text as T
@@ -111,6 +112,18 @@ def test_itemsets(spark):
     assert {r["query_id"]: r["expansions"] for r in itemsets.expand(q, cooc).collect()} == {1: ["b"], 2: ["b"], 3: []}
 
 
+def test_itemset_support_does_not_grow_with_the_corpus(spark, tmp_path):
+    texts = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} filler" + (" zebra okapi quagga" if i < 3 else "") for i in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a zebra")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = registry.queries()
+    assert {r["a"]: r["support"] for r in found["fim_singletons"](spark, str(tmp_path)).collect()} == {"filler": 60, "okapi": 3, "quagga": 3, "zebra": 3}
+    assert ("okapi", "zebra", 3) in {tuple(r) for r in found["fim_pairs"](spark, str(tmp_path)).collect()}
+    assert ("okapi", "quagga", "zebra", 3) in {tuple(r) for r in found["fim_triples"](spark, str(tmp_path)).collect()}
+    assert {r["query_id"]: r["expansions"] for r in found["expand_query"](spark, str(tmp_path)).collect()} == {1: ["okapi", "quagga"]}
+
+
 def test_metrics(spark, queries):
     results = spark.createDataFrame([(1, "m", 1, 7, 1.0), (1, "m", 2, 8, 0.5), (1, "m", 3, 9, 0.4)], "query_id long, method string, rank int, chunk_id long, score double")
     qrels = spark.createDataFrame([(1, 7), (1, 9), (1, 10)], "query_id long, chunk_id long")
