@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans planned inside cut a table into the same splits, also if executors come or go between them: Spark takes the
+    least number of splits from the cores registered at the time unless it is set. A number that the user set stays."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    if before is None:
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

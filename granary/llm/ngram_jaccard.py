@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import MULTIPLIERS, U, Words, afresh, by_part, components, mix, parts_for, prepare, settle, shingle_sets, summed
+from granary.llm.common import MULTIPLIERS, U, Words, afresh, by_part, components, mix, parts_for, prepare, same_splits, settle, shingle_sets, summed
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,10 @@ def sets_of(documents: DataFrame, params: JaccardParams) -> DataFrame:
 
 
 def regions(sets: DataFrame, parts: int) -> DataFrame:
-    """(pivot, node): the members of each pivot's region, distinct, pivots left out."""
+    """(pivot, node): the members of each pivot's region, distinct, pivots left out.
+
+    The table is scanned twice, and both scans must gather the same batches, as pivots are looked up by batch.
+    """
 
     def reduced(b: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct (key, node) of a batch, in order, and where keys begin."""
@@ -184,10 +187,12 @@ def regions(sets: DataFrame, parts: int) -> DataFrame:
     some = sets.where("node is not null and doc_id is not null").select("node", "keys")
     across = some.mapInArrow(send, "part long, batch long, blob binary").groupBy("part").applyInArrow(pivots, "batch long, key long, pivot long, least long")
     within = some.mapInArrow(inside, "batch long, key long, least long, node long")
-    across = settle(across, "pivots")
-    far = across.select("pivot", F.col("least").alias("node"))
-    near = within.join(across.select("batch", "key", "pivot"), ["batch", "key"], "left").select(F.coalesce("pivot", "least").alias("pivot"), "node")
-    return far.union(near).where("pivot != node").distinct()
+    with same_splits(sets.sparkSession):
+        across = settle(across, "pivots")
+        far = across.select("pivot", F.col("least").alias("node"))
+        near = within.join(across.select("batch", "key", "pivot"), ["batch", "key"], "left").select(F.coalesce("pivot", "least").alias("pivot"), "node")
+        return settle(far.union(near).where("pivot != node").distinct(), "members")
+
 
 
 def shingles(documents: DataFrame, wanted: DataFrame, params: JaccardParams) -> DataFrame:
@@ -330,7 +335,7 @@ def join(documents: DataFrame, params: JaccardParams = JaccardParams()) -> DataF
     sets = settle(sets_of(documents, params), "sets")
     known = sets.where("node is not null and doc_id is not null")
     slices = known.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    members = settle(regions(sets, parts_for(slices // 8, params.part_keys)), "members")
+    members = regions(sets, parts_for(slices // 8, params.part_keys))
     nodes = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
     first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     contents = settle(shingles(documents, nodes.join(first, "node"), params).dropDuplicates(["node"]), "contents")

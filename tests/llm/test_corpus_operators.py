@@ -75,6 +75,30 @@ def test_jaccard_join_odd_tables(spark):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
+def test_jaccard_join_when_cores_come_between_its_scans(spark, monkeypatch):
+    keys = {"spark.sql.leafNodeDefaultParallelism": "1", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    texts = corpus()
+    settle = ngram_jaccard.settle
+
+    def settled(df, name):
+        out = settle(df, name)
+        if name == "pivots":
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "settle", settled)
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = ngram_jaccard.join(documents(spark, texts).repartition(8), ngram_jaccard.JaccardParams(words=3, percent=90)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == brute_components(list(enumerate(texts)), 3, 90)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 def brute_substrings(rows, window=13):
     first = {}
     cut = [(i, WORD.findall(t or "")) for i, t in rows]
