@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted by k-means on a bounded sample; every row is indexed. A query takes the lists
-whose centroids have the largest inner products with it. In a list, asymmetric distance tables (the query's products
+whose centroids have the largest inner products with it, of those that have rows. In a list, asymmetric distance tables (the query's products
 with every codeword) rate each row by its centroid and codes, and the best `rerank` of each slab are recomputed exactly
 in double precision.
 
@@ -28,7 +28,7 @@ from granary.llm.vectors import matrix, usable
 
 @dataclass(frozen=True)
 class AnnParams:
-    """sample: rows that k-means sees; probe_share: of the lists that a query takes (vectors without clusters need most
+    """sample: rows that k-means sees; probe_share: of the lists with rows that a query takes (vectors without clusters need most
     of them for a recall of 0.9, clustered ones few); rerank: rows of a slab that are recomputed."""
 
     k: int = 20
@@ -51,8 +51,9 @@ class Index:
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    k = min(k, len(x))
-    c = x[rng.choice(len(x), k, replace=False)].copy()
+    distinct = np.unique(x, axis=0)  # centroids that coincide would leave all but one of them empty
+    k = min(k, len(distinct))
+    c = distinct[rng.choice(len(distinct), k, replace=False)]
     for _ in range(rounds):
         own = nearest(x, c)
         total = np.zeros_like(c)
@@ -68,9 +69,9 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, n: int, params: AnnParams = AnnParams()) -> Index:
-    """From the rows first by a hash of vec_id, at most params.sample."""
+    """From the rows first by a hash of vec_id, at most params.sample; copies count once."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(params.sample).toArrow()
-    x = matrix(rows.column("embedding"))
+    x = np.unique(matrix(rows.column("embedding")), axis=0)
     rng = np.random.default_rng(params.seed)
     centroids = k_means(x, int(max(1, min(params.max_lists, round(n**0.5 / 2)))), rng)
     rest = x - centroids[nearest(x, centroids)]
@@ -90,7 +91,6 @@ def search(embeddings: DataFrame, queries: Column, params: AnnParams = AnnParams
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(fit(rows, n, params))  # at most max_lists centroids and 256 codewords
     lists = len(sent.value.centroids)
-    probes = max(1, int(np.ceil(lists * params.probe_share)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -103,6 +103,8 @@ def search(embeddings: DataFrame, queries: Column, params: AnnParams = AnnParams
 
     coded = settle(rows.select("vec_id", "embedding").mapInArrow(encode, "list long, vec_id long, codes binary, embedding array<double>"), "coded")
     sizes = {r[0]: r[1] for r in coded.groupBy("list").count().collect()}  # at most max_lists rows
+    empty = np.array([i not in sizes for i in range(lists)])
+    probes = max(1, int(np.ceil(len(sizes) * params.probe_share)))
     slabs = F.array(*[F.lit(-(-sizes.get(i, 0) // params.slab) or 1) for i in range(lists)])
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
@@ -121,6 +123,7 @@ def search(embeddings: DataFrame, queries: Column, params: AnnParams = AnnParams
             if not len(ids):
                 continue
             rate = q @ index.centroids.T
+            rate[:, empty] = -np.inf
             take = np.zeros(rate.shape, bool)
             np.put_along_axis(take, np.argpartition(-rate, probes - 1, 1)[:, :probes], True, 1)
             for at in range(0, len(ids), params.queries):

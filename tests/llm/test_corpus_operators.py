@@ -209,6 +209,25 @@ def test_ann_recall_and_scores(spark):
     assert len(few) == 6 and ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_ann_recall_beside_a_copied_vector(spark):
+    """Production parameters; a third of the rows are one vector. Recall of the other queries, by score as copies tie."""
+    x = np.random.default_rng(4).normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, np.repeat(x[7:8], 250, 0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in ann.search(df, (F.col("vec_id") % 5 == 0) & (F.col("vec_id") < 500)).collect():
+        by.setdefault(r["query_id"], []).append(r["score"])
+    recalls = []
+    for q, scores in by.items():
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        recalls.append(sum(s >= np.sort(exact)[-20] - 1e-9 for s in scores) / 20)
+    assert len(recalls) == 100 and np.mean(recalls) >= 0.9
+    centroids = ann.fit(df, len(x)).centroids
+    assert len(np.unique(centroids, axis=0)) == len(centroids) and (np.bincount(ann.nearest(x, centroids), minlength=len(centroids)) > 0).all()
+
+
 def test_language_id():
     rng = random.Random(1)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(60)).encode()
