@@ -1,4 +1,6 @@
-"""N-gram Jaccard join: an exact self-join of shingle sets in the Jaccard metric space, with connected components.
+"""N-gram Jaccard join: exact connected components of the self-join of shingle sets in the Jaccard metric space.
+
+Links are a spanning set: members that both link to their region's pivot are not compared with each other.
 
 Distances between unrelated documents are all 1, so document pivots alone would split nothing. The join therefore has
 two levels, both exact.
