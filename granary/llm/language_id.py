@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import prepare
@@ -30,11 +30,12 @@ LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """per_label bounds the rows learnt from (of each language), max_labels the languages; window: bytes a window."""
+    """per_label bounds the rows learnt from (of each language), span the windows of one span that each of them gives;
+    window: bytes a window. All languages are learnt."""
 
     per_label: int = 400
-    max_labels: int = 200
     window: int = 256
+    span: int = 16
     filters: int = 8
     epochs: int = 12
     batch: int = 64
@@ -155,15 +156,9 @@ class Predictor:
 def fit(documents: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learn from at most per_label rows of each language (those first by a hash of doc_id), never from held-out rows."""
     known = documents.where("lang is not null and text is not null and doc_id is not null").where(f"not {HELD_OUT}")
-    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_labels).collect()]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = None
-    for name in names:
-        some = known.where(F.col("lang") == name).select("doc_id", "lang").orderBy(*order).limit(params.per_label)
-        ids = some if ids is None else ids.union(some)
-    if ids is None:
-        return train([], [], params)
-    n = params.window * 16
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang", place.alias("place")).where(F.col("place") <= params.per_label).drop("place")
+    n = params.window * params.span
     raw, size = F.encode("text", "utf-8"), F.octet_length("text")
     begin = F.when(size > n, F.pmod(F.xxhash64("text"), size - n) + 1).otherwise(1).cast("int")
     rows = known.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "lang", F.substring(raw, begin, F.lit(n)).alias("t")).toArrow().to_pydict()

@@ -228,6 +228,14 @@ def test_ann_recall_beside_a_copied_vector(spark):
     assert len(np.unique(centroids, axis=0)) == len(centroids) and (np.bincount(ann.nearest(x, centroids), minlength=len(centroids)) > 0).all()
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, params: (texts, labels))
+    rows = [(i, "word " * 2000, f"l{i % 230}") for i in range(2300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = language_id.fit(df, language_id.LanguageParams(per_label=3, span=2))
+    assert len(set(labels)) == 230 and max(map(labels.count, set(labels))) == 3 and {len(t) for t in texts} == {512}
+
+
 def test_language_id():
     rng = random.Random(1)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(60)).encode()
