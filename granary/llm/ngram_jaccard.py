@@ -1,53 +1,65 @@
 """N-gram Jaccard join: exact connected components of the self-join of shingle sets in the Jaccard metric space.
 
-Links are a spanning set: members that both link to their region's pivot are not compared with each other.
-
-Distances between unrelated documents are all 1, so document pivots alone would split nothing. The join therefore has
-two levels, both exact.
+Distances between unrelated documents are all 1, so cells around document pivots alone would split nothing, and each
+document would stand in every cell. The join therefore goes down three levels, all exact.
 
 Regions. A set of n shingles is dealt by hash into K slices, where K exceeds the largest symmetric difference that a
 linked pair of its size class can have (plus slack for empty slices). By the pigeonhole principle linked sets agree on a
-whole slice. The smallest member of a slice value is the pivot of its Voronoi cell, and a set belongs to the cells of
-all its slices' pivots, so sets near a border stand in each; size classes overlap by the window 1/threshold.
+whole slice. The first holder of a slice value is the pivot of its region, and a set belongs to the regions of all its
+slices, so sets near a border stand in each; size classes overlap by the window 1 / threshold.
+
+Sketches. Each slice is two slots, and a slot's content is hashed to four bits. Unequal slots are a metric that no
+symmetric difference is below, so members of a region whose sketches are further apart than a linked pair may be are
+ruled out before any text moves. What is left of a region is a spanning forest of its sketch graph, not a list of pairs;
+the components of all forests are the clusters in which every linked pair lies.
 
-Inside a region. Each member x keeps the difference D(x) between it and the pivot. Members within the threshold of the
-pivot link to it; by the triangle inequality |D(x)|+|D(y)| bounds any pair's difference from above, so only pairs with
-one member outside the threshold remain, and these must share elements of their differences. The differences are again
-small sets and are joined recursively: a region of a few members directly, a larger one under a better pivot, the member
-with the least difference, again by differences: rarest elements first, prefixes whose length the triangle inequality
-bounds, exact counts at the end. Edits of one text, common words and passages cancel in the differences, so a region of
-thousands of near copies makes no all-pairs list.
+Clusters. The members' differences from the cluster's first document are the points of a metric space (sizes of
+symmetric differences). A cluster is cut into Voronoi cells around pivots that lie far apart; a member stands in each
+cell whose pivot is at most twice its widest link further than the nearest one (triangle inequality); cells are cut
+again until they are small or no longer shrink. There, members of the components but the largest are compared with the
+cell. Links within a component are never looked for, so a group of near copies costs little more than one comparison a
+member. Found is a spanning set of links, hence exact components: neither the pairs nor the number of links.
 
-Sets are classes: rows with equal sets share one. A slice value's members are first reduced within each batch, so a
-value in a third of all rows costs a part one entry a batch. Hashes have 64 bits.
+Hot groups. Equal sets of a batch send one member. A slice value reaches its part as one entry a batch. Regions and
+clusters beyond `block` members (`block_bytes` of text) are cut into blocks; blocks settle themselves first, and only members outside
+the first document's component are then compared with the other blocks.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; with fewer words
-than a shingle the whole sequence is one shingle; rows with equal doc_id are one node (each set's links count for it);
-rows with a null doc_id keep n_shingles and get a null component_id; other columns are not read.
+than a shingle the whole sequence is one shingle; rows with equal doc_id are one node (each text's links count for it);
+rows with a null doc_id keep n_shingles and get a null component_id; other columns are not read. Equal sets are told by
+128 bits, shingles by 64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import MULTIPLIERS, U, Words, afresh, by_part, components, mix, parts_for, prepare, same_splits, settle, shingle_sets, summed
+from granary.llm.common import MULTIPLIERS, U, Words, components, discard, mix, parts_for, prepare, settle, shingle_sets, summed
 
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """Pairs link when their Jaccard similarity is at least percent / 100. part_keys: slices compared in one task."""
+    """Pairs link when their Jaccard similarity is at least percent / 100. part_keys: slices compared in one task; block,
+    block_bytes: members, and bytes of texts, of a region or cluster that one task holds; leaf: cells that are not cut."""
 
     words: int = 5
     percent: int = 80
     part_keys: int = 500_000
     class_ratio: float = 1.5
-    leaf: int = 12  # members of a region that are compared with each other directly
+    block: int = 4096
+    block_bytes: int = 32 << 20
+    leaf: int = 64
+    pivots: int = 8
+
+
+# ---------------------------------------------------------------- slices and sketches
 
 
 class Classes:
@@ -71,144 +83,281 @@ class Classes:
         return np.searchsorted(self.low, sizes, "right") - 1
 
 
-def slice_keys(values: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of all slices of the sets that lie end to end in values."""
+def sliced(values: np.ndarray, offsets: np.ndarray, classes: Classes, lower: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the sets end to end in values that have slices in their own class, or the one below it: their indices, the set
+    (index) and key of each slice, and their sketches, a byte a slice, end to end with offsets."""
     sizes = np.diff(offsets)
-    own = classes.of(sizes)
-    sets, keys = [], []
-    spread, content = mix(values ^ MULTIPLIERS[48]) >> U(32), mix(values + MULTIPLIERS[49])
-    for lower in (0, 1):
-        c = own - lower
-        take = np.flatnonzero((c >= 0) & (own >= 0) & ((sizes <= classes.window[c]) if lower else True))
-        if not len(take):
-            continue
-        n, k = sizes[take], classes.slices[c[take]]
-        base = np.concatenate([[0], np.cumsum(k)])
-        index = np.repeat(offsets[take] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        slot = np.repeat(base[:-1], n) + ((spread[index] * np.repeat(k, n).astype(U)) >> U(32)).astype(np.int64)
-        total = np.zeros(base[-1], U)
-        np.add.at(total, slot, content[index])
-        filled = np.bincount(slot, minlength=base[-1])
-        who = np.repeat(np.arange(len(take)), k)
-        empty = np.bincount(who[filled == 0], minlength=len(take))
-        # a pair that differs in all its filled slices has more than slack empty ones in common: those sets send these too
-        keep = (filled > 0) | (empty > classes.slack[c[take]])[who]
-        place = (np.arange(base[-1]) - base[who]).astype(U)
-        key = mix(total + mix((place << U(8)) + c[take][who].astype(U) + MULTIPLIERS[50]))
-        sets.append(take[who[keep]])
-        keys.append(key[keep])
-    return (np.concatenate(sets), np.concatenate(keys)) if sets else (np.zeros(0, np.int64), np.zeros(0, U))
-
-
-def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A number for each set, the same for equal ones; 0 for empty ones."""
-    n = np.diff(offsets)
-    out = mix(summed(mix(values + MULTIPLIERS[51]), offsets) + n.astype(U) * MULTIPLIERS[52])
-    return np.where(n > 0, out, U(0)).view(np.int64)
-
-
-def sets_of(documents: DataFrame, params: JaccardParams) -> DataFrame:
-    """doc_id, n_shingles, node (the set's number, null for empty sets), keys (of its slices)."""
-    k = params.words
+    c = classes.of(sizes) - lower
+    take = np.flatnonzero((c >= 0) & ((sizes <= classes.window[np.maximum(c, 0)]) if lower else True))
+    if not len(take):
+        return take, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    n, k = sizes[take], classes.slices[c[take]]
+    base = np.concatenate([[0], np.cumsum(k)])
+    index = np.repeat(offsets[take] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    spread = mix(values[index] ^ MULTIPLIERS[48]) >> U(32)
+    slot = np.repeat(2 * base[:-1], n) + ((spread * np.repeat(2 * k, n).astype(U)) >> U(32)).astype(np.int64)
+    total = np.zeros(2 * base[-1], U)
+    np.add.at(total, slot, mix(values[index] + MULTIPLIERS[49]))
+    filled = np.bincount(slot >> 1, minlength=base[-1]) > 0
+    nibble = (mix(total) >> U(60)).astype(np.uint8)
+    sketch = (nibble[::2] << 4) | nibble[1::2]
+    who = np.repeat(np.arange(len(take)), k)
+    empty = np.bincount(who[~filled], minlength=len(take))
+    # a pair that differs in all its filled slices has more than slack empty ones in common: those sets send these too
+    keep = filled | (empty > classes.slack[c[take]])[who]
+    place = (np.arange(base[-1]) - base[who]).astype(U)
+    key = mix(total[::2] + total[1::2] + mix((place << U(8)) + c[take][who].astype(U) + MULTIPLIERS[50]))
+    return take, take[who[keep]], key[keep], sketch, base
+
+
+def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, the same for equal ones."""
+    n = np.diff(offsets).astype(U)
+    return tuple(mix(summed(mix(values + MULTIPLIERS[i]), offsets) + n * MULTIPLIERS[i + 2]).view(np.int64) for i in (51, 52))
+
+
+SENT = "part long, batch long, blob binary, idx int, doc_id long, n long, h1 long, h2 long, class int, own binary, lower binary"
+LARGEST_BATCH = 1 << 15  # an index has 15 bits, one more tells that the batch has the key several times
+
+
+def send(documents: DataFrame, params: JaccardParams, parts: int, most: int = 16 << 20) -> DataFrame:
+    """A row a document (part null), with sketches where its set is the first of its batch; a row for each part that a
+    batch has keys of (the batch's first holder of each); a row (part -1) with the keys that a batch has several times."""
+    none = lambda k, kind: pa.nulls(k, kind)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size, rows = [], 0, 0
+        for b in batches:
+            for at in range(0, len(b), LARGEST_BATCH):
+                piece = b.slice(at, LARGEST_BATCH)
+                if held and (size + piece.nbytes > most or rows + len(piece) > LARGEST_BATCH):
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, size, rows = [], 0, 0
+                held.append(piece)
+                size, rows = size + piece.nbytes, rows + len(piece)
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(params)
-        for b in batches:
-            values, offsets = shingle_sets(Words(b.column(1), lower=True), k)
-            nodes, n = set_ids(values, offsets), np.diff(offsets)
-            owner, keys = slice_keys(values, offsets, classes)
-            order = np.argsort(owner, kind="stable")
-            cut = np.split(keys[order], np.cumsum(np.bincount(owner, minlength=len(n)))[:-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(nodes, mask=n == 0), pa.array([x.tobytes() for x in cut], pa.binary())], names=["doc_id", "n_shingles", "node", "keys"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, keys binary")
-
-
-def regions(sets: DataFrame, parts: int) -> DataFrame:
-    """(pivot, node): the members of each pivot's region, distinct, pivots left out.
-
-    The table is scanned twice, and both scans must gather the same batches, as pivots are looked up by batch.
-    """
-
-    def reduced(b: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct (key, node) of a batch, in order, and where keys begin."""
-        blobs = [np.frombuffer(x.as_py(), U) for x in b.column("keys")]
-        keys = np.concatenate(blobs) if blobs else np.zeros(0, U)
-        nodes = np.repeat(np.asarray(b.column("node")).astype(np.int64), [len(x) for x in blobs])
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]) if len(keys) else np.zeros(0, bool)
-        keys, nodes = keys[new], nodes[new]
-        return keys, nodes, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-
-    def gathered(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.Table]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size > most:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part, a batch's keys with the smallest node of each."""
-        for b in gathered(batches):
-            keys, nodes, begin = reduced(b)
-            batch = int(mix(keys[:1]).view(np.int64)[0]) if len(keys) else 0
-            keys, nodes = keys[begin], nodes[begin]
-            found = [(p, keys[i].tobytes() + nodes[i].tobytes()) for p, i in by_part(keys, parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([batch] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["part", "batch", "blob"])
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other nodes of a batch with a key, under the smallest one."""
-        for b in gathered(batches):
-            keys, nodes, begin = reduced(b)
-            size = np.diff(np.concatenate([begin, [len(keys)]]))
-            rest = np.ones(len(keys), bool)
-            rest[begin] = False
-            batch = int(mix(keys[:1]).view(np.int64)[0]) if len(keys) else 0
-            columns = [np.full(int(rest.sum()), batch), keys.view(np.int64)[rest], np.repeat(nodes[begin], size)[rest], nodes[rest]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["batch", "key", "least", "node"])
+        for number, t in enumerate(gathered(batches)):
+            batch = (TaskContext.get().partitionId() << 24) + number
+            doc_ids, texts = (x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in t.columns)
+            values, offsets = shingle_sets(Words(texts, lower=True), params.words)
+            (h1, h2), n, m = set_ids(values, offsets), np.diff(offsets), len(t)
+            # the smallest doc_id of equal sets stands for them
+            ids = np.asarray(doc_ids.fill_null(0)).astype(np.int64)
+            known = np.asarray(doc_ids.is_valid()) & (n > 0)
+            order = np.lexsort((ids, h2, h1, ~known))
+            first = np.zeros(m, bool)
+            first[order] = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])[:m]
+            stands = np.flatnonzero(first & known)
+            ends = np.concatenate([[0], np.cumsum(n[stands])])
+            own_values = values[np.repeat(offsets[stands] - ends[:-1], n[stands]) + np.arange(ends[-1])]
+            sketches, sets, keys = [[None] * m, [None] * m], [], []
+            for lower in (0, 1):
+                take, owner, key, sketch, base = sliced(own_values, ends, classes, lower)
+                for j, i in enumerate(take):
+                    sketches[lower][stands[i]] = sketch[base[j] : base[j + 1]].tobytes()
+                sets.append(stands[owner])
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), pa.array(np.full(m, batch)), none(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), doc_ids, pa.array(n), pa.array(h1), pa.array(h2), pa.array(classes.of(n).astype(np.int32)), *[pa.array(s, pa.binary()) for s in sketches]], schema=ARROW)
+            sets, keys = np.concatenate(sets), np.concatenate(keys)
+            if not len(keys):
+                continue
+            part = ((keys >> U(32)) * U(parts)) >> U(32)
+            code = (part << U(32)) | (keys & U(0xFFFFFFFF))
+            order = np.lexsort((ids[sets], code))
+            code, sets = code[order], sets[order]
+            begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            size = np.diff(np.concatenate([begin, [len(code)]]))
+            several = np.repeat(size > 1, size)
+            blobs = [(-1, code[several].tobytes() + sets[several].astype(np.uint16).tobytes())] if several.any() else []
+            key, idx, part = (code[begin] & U(0xFFFFFFFF)).astype(np.uint32), (sets[begin] + LARGEST_BATCH * (size > 1)).astype(np.uint16), (code[begin] >> U(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            blobs += [(int(part[a]), key[a:b].tobytes() + idx[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+            k = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int64()), pa.array(np.full(k, batch)), pa.array([x for _, x in blobs], pa.binary()), *[none(k, f.type) for f in list(ARROW)[3:]]], schema=ARROW)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SENT)
+
+
+ARROW = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in SENT.split(", "))])
+
+
+def regions(sent: DataFrame) -> DataFrame:
+    """(region, row): the members of each region, its pivot among them; a row is numbered by batch and index."""
 
     def pivots(key: tuple, table: pa.Table) -> pa.Table:
-        """The pivot of each key that several batches sent, for each of them."""
-        who = np.asarray(table.column("batch"))
-        blobs = [np.frombuffer(x.as_py(), U).reshape(2, -1) for x in table.column("blob")]
-        keys, nodes = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]).view(np.int64)
-        source = np.repeat(np.arange(len(blobs)), [b.shape[1] for b in blobs])
-        order = np.lexsort((nodes, keys))
-        keys, nodes, source = keys[order], nodes[order], source[order]
+        """For each batch, its holders of keys that several batches sent with the key's pivot; with the key, if the batch
+        has several holders."""
+        part = U(key[0].as_py())
+        blobs = [x.as_py() for x in table.column("blob")]
+        count = np.array([len(x) // 6 for x in blobs])
+        keys = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, count, strict=True)])
+        idx = np.concatenate([np.frombuffer(x, np.uint16, k, 4 * k) for x, k in zip(blobs, count, strict=True)]).astype(np.int64)
+        batch = np.repeat(np.asarray(table.column("batch")), count)
+        row = batch * LARGEST_BATCH + idx % LARGEST_BATCH
+        order = np.lexsort((row, keys))
+        keys, idx, batch, row = keys[order], idx[order], batch[order], row[order]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.concatenate([begin, [len(keys)]]))
-        several = np.repeat(size > 1, size)
-        pivot = np.repeat(nodes[begin], size)
-        return pa.table({"batch": who[source[several]], "key": keys.view(np.int64)[several], "pivot": pivot[several], "least": nodes[several]})
-
-    some = sets.where("node is not null and doc_id is not null").select("node", "keys")
-    across = some.mapInArrow(send, "part long, batch long, blob binary").groupBy("part").applyInArrow(pivots, "batch long, key long, pivot long, least long")
-    within = some.mapInArrow(inside, "batch long, key long, least long, node long")
-    with same_splits(sets.sparkSession):
-        across = settle(across, "pivots")
-        far = across.select("pivot", F.col("least").alias("node"))
-        near = within.join(across.select("batch", "key", "pivot"), ["batch", "key"], "left").select(F.coalesce("pivot", "least").alias("pivot"), "node")
-        return settle(far.union(near).where("pivot != node").distinct(), "members")
-
-
-
-def shingles(documents: DataFrame, wanted: DataFrame, params: JaccardParams) -> DataFrame:
-    """(node, set): the sorted shingle hashes of the wanted (node, doc_id), from their texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, offsets = shingle_sets(Words(b.column(2), lower=True), params.words)
-            same = set_ids(values, offsets) == np.asarray(b.column(0))
-            raw = [values[offsets[i] : offsets[i + 1]].tobytes() for i in np.flatnonzero(same)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(same)), pa.array(raw, pa.binary())], names=["node", "set"])
-
-    texts = wanted.join(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id").select("node", "doc_id", "text")
-    return texts.select("node", "doc_id", "text").mapInArrow(run, "node long, set binary")
+        some = np.repeat(size > 1, size)
+        pivot, keys, idx, batch = np.repeat(row[begin], size)[some], keys[some].astype(U) | (part << U(32)), idx[some], batch[some]
+        order = np.lexsort((idx, pivot, batch))
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1):
+            if len(at):
+                plain, twice = at[idx[at] < LARGEST_BATCH], at[idx[at] >= LARGEST_BATCH]
+                pairs = np.unique(np.stack([pivot[plain], idx[plain]]), axis=1)
+                out.append((int(batch[at[0]]), pairs.astype(np.int64).tobytes(), keys[twice].tobytes() + pivot[twice].tobytes()))
+        return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "pairs": pa.array([x[1] for x in out], pa.binary()), "keyed": pa.array([x[2] for x in out], pa.binary())})
+
+    def members(key: tuple, inner: pa.Table, across: pa.Table) -> pa.Table:
+        batch = key[0].as_py()
+        pairs = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in across.column("pairs")]
+        keyed = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in across.column("keyed")]
+        found = [np.stack([p[0], batch * LARGEST_BATCH + p[1]]) for p in pairs if p.shape[1]]
+        keyed = np.concatenate(keyed, axis=1) if keyed else np.zeros((2, 0), np.int64)
+        known, pivot = keyed[0].view(U), keyed[1]
+        order = np.argsort(known, kind="stable")
+        known, pivot = known[order], pivot[order]
+        for x in inner.column("blob"):
+            raw = x.as_py()
+            k = len(raw) // 10
+            code, idx = np.frombuffer(raw, U, k), np.frombuffer(raw, np.uint16, k, 8 * k).astype(np.int64) + batch * LARGEST_BATCH
+            begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            region = idx[begin]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, code[begin]), len(known) - 1)
+                region = np.where(known[at] == code[begin], pivot[at], region)
+            found.append(np.stack([np.repeat(region, np.diff(np.concatenate([begin, [k]]))), idx]))
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        both = both[:, both[0] != both[1]]
+        both = np.concatenate([both, np.stack([np.unique(both[0])] * 2)], axis=1)
+        return pa.table({"region": both[0], "row": both[1]})
+
+    across = sent.where("part >= 0").select("part", "batch", "blob").groupBy("part").applyInArrow(pivots, "batch long, pairs binary, keyed binary")
+    inner = sent.where("part = -1").select("batch", "blob")
+    return inner.groupBy("batch").cogroup(across.groupBy("batch")).applyInArrow(members, "region long, row long").distinct()
+
+
+# ---------------------------------------------------------------- forests
+
+
+def near(n: np.ndarray | int, m: np.ndarray | int, difference: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    """Whether sets of n and m elements may have that symmetric difference and link."""
+    return (n + m) * (100 - percent) >= difference * (100 + percent)
+
+
+class Forest:
+    """Components of some members, and the links that joined them."""
+
+    def __init__(self, members: int):
+        self.label = np.arange(members)
+        self.links: list[tuple[int, int]] = []
+
+    def link(self, y: int, others: np.ndarray) -> None:
+        for label in np.unique(self.label[others]):
+            if label != self.label[y]:
+                self.links.append((y, int(others[self.label[others] == label][0])))
+                self.label[self.label == label] = self.label[y]
+
+    def close(self, among: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> None:
+        """Find all components among some members: linked(y, among) tells who of them links to y. Members of the largest
+        component come last, and need no look once all others were looked at."""
+        undone = among
+        while len(undone):
+            labels, count = np.unique(self.label[undone], return_counts=True)
+            if len(labels) < 2:
+                return
+            y = int(undone[np.flatnonzero(self.label[undone] == labels[np.argmin(count)])[0]])
+            self.link(y, among[linked(y, among)])
+            undone = undone[undone != y]
+
+
+PAIRS = np.array([(x > 15) + (x % 16 > 0) for x in range(256)], np.uint8)
+
+
+class Sketches:
+    """Sketched sets of a region: their sizes, size classes and sketches in their own class and the one below."""
+
+    def __init__(self, n: np.ndarray, kind: np.ndarray, own: list[bytes], lower: list[bytes | None], percent: int):
+        self.n, self.kind, self.own, self.lower, self.percent = n, kind, own, lower, percent
+        self.at = np.zeros(len(n), np.int64)
+        self.stacks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for c in np.unique(kind):
+            rows = np.flatnonzero(kind == c)
+            self.stacks[c, 0] = rows, np.stack([np.frombuffer(own[i], np.uint8) for i in rows])
+            rows = rows[[lower[i] is not None for i in rows]]
+            if len(rows):
+                self.stacks[c, 1] = rows, np.stack([np.frombuffer(lower[i], np.uint8) for i in rows])
+
+    def linked(self, y: int, among: np.ndarray) -> np.ndarray:
+        """Whose sketch is no further from y's than a link may be. Sets of one class are compared in it, sets of two in
+        the lower one; between others, sizes alone rule a link out."""
+        out, c = np.zeros(len(self.n), bool), self.kind[y]
+        for stack, mine in (((c, 0), self.own[y]), ((c + 1, 1), self.own[y]), ((c - 1, 0), self.lower[y])):
+            if mine is not None and stack in self.stacks:
+                rows, sketches = self.stacks[stack]
+                apart = PAIRS[sketches ^ np.frombuffer(mine, np.uint8)].sum(axis=1, dtype=np.int64)
+                out[rows] = near(self.n[rows], self.n[y], apart, self.percent)
+        out &= (100 * np.minimum(self.n, self.n[y]) >= self.percent * np.maximum(self.n, self.n[y])) & (np.arange(len(out)) != y)
+        return out[among]
+
+
+class Differences:
+    """Sets of a cluster as differences from one of them, end to end in codes."""
+
+    def __init__(self, n: np.ndarray, differences: list[np.ndarray], params: JaccardParams):
+        self.n, self.params, self.size = n, params, np.array([len(d) for d in differences], np.int64)
+        values = np.concatenate(differences) if differences else np.zeros(0, U)
+        self.codes = np.unique(values, return_inverse=True)[1] if len(values) else np.zeros(0, np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.mark = np.zeros(int(self.codes.max()) + 1 if len(values) else 1, bool)
+        self.widest = n * (100 - params.percent) // params.percent  # of a difference between the set and a partner
+
+    def apart(self, y: int, among: np.ndarray) -> np.ndarray:
+        """The symmetric differences between y and others."""
+        own = self.codes[self.offsets[y] : self.offsets[y + 1]]
+        self.mark[own] = True
+        size = self.size[among]
+        ends = np.cumsum(size)
+        index = np.repeat(self.offsets[among] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        total = np.concatenate([[0], np.cumsum(self.mark[self.codes[index]])])
+        self.mark[own] = False
+        return size + len(own) - 2 * (total[ends] - total[ends - size])
+
+    def linked(self, y: int, among: np.ndarray) -> np.ndarray:
+        # sizes and, by the triangle inequality, the differences from the first set rule out most before any is compared
+        may = near(self.n[among], self.n[y], np.abs(self.size[among] - self.size[y]), self.params.percent) & (among != y)
+        out = np.zeros(len(among), bool)
+        at = np.flatnonzero(may)
+        out[at] = near(self.n[among[at]], self.n[y], self.apart(y, among[at]), self.params.percent)
+        return out
+
+    def join(self, forest: Forest, among: np.ndarray) -> None:
+        """All components among some members: cells around pivots, their borders widened by the triangle inequality."""
+        if len(np.unique(forest.label[among])) < 2:
+            return
+        if len(among) > self.params.leaf:
+            far, distances = among[0], []
+            for _ in range(self.params.pivots):
+                d = self.apart(far, among)
+                forest.link(int(far), among[near(self.n[among], self.n[far], d, self.params.percent) & (among != far)])
+                distances.append(d)
+                nearest = np.min(distances, axis=0)
+                far = among[np.argmax(nearest)]
+            if len(np.unique(forest.label[among])) < 2:
+                return
+            cells = [among[d <= nearest + 2 * self.widest[among]] for d in distances]
+            home = np.argmin(distances, axis=0)
+            cells = [c for i, c in enumerate(cells) if (home == i).any()]
+            if max(map(len, cells)) <= 0.7 * len(among):
+                for c in cells:
+                    self.join(forest, c)
+                return
+        forest.close(among, self.linked)
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,136 +370,192 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d[once]
 
 
-def near(n: int, m: int, difference: int, percent: int) -> bool:
-    """Whether sets of n and m elements with a symmetric difference of that size link."""
-    union = (n + m + difference) // 2
-    return 100 * (union - difference) >= percent * union
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[dict]]:
+    """Rows that follow each other with equal values in some columns."""
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and any(row[c] != held[0][c] for c in by):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
 
+# ---------------------------------------------------------------- groups in blocks
 
-MEMBERS = "pivot long, node long, n long, pivot_n long, core boolean, difference binary"
 
+def blocked(rows: DataFrame, group: str, weight: str, params: JaccardParams) -> DataFrame:
+    """rows with blocks, how many their group is cut into, and block, the one that a row goes to."""
+    sizes = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / params.block), F.ceil(F.sum(weight) / params.block_bytes)).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    return rows.join(sizes.where("blocks > 1"), group, "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
 
-def differences(rows: DataFrame, percent: int) -> DataFrame:
-    """(pivot, node, n, pivot_n, core, difference) of rows (pivot, node, n, pivot_n, a, b): a and b are the sets, or
-    their differences from any third one; core tells whether node and pivot link."""
+
+def across_blocks(points: DataFrame, fields: list[str], links: Callable[[list[dict], list[dict]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): links between the blocks of each group, of points (group, block, open, fields): each block's open members
+    against the other blocks, two blocks in a task at a time."""
+    item = F.struct(*fields)
+    whole = points.groupBy("group", F.col("block").alias("other")).agg(F.collect_list(item).alias("y"))
+    probes = points.where("open").groupBy("group", "block").agg(F.collect_list(item).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            core, out = [], []
-            for n, m, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                d = apart(np.frombuffer(a, U), np.frombuffer(b, U))
-                core.append(near(n, m, len(d), percent))
-                out.append(d.tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(core, pa.bool_()), pa.array(out, pa.binary())], names=["pivot", "node", "n", "pivot_n", "core", "difference"])
+        for b in batches:
+            for i in range(len(b)):
+                found = links(b.column("x")[i].as_py(), b.column("y")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    return rows.select("pivot", "node", "n", "pivot_n", "a", "b").mapInArrow(run, MEMBERS)
+    pairs = probes.join(whole, "group").where("block != other")
+    return pairs.repartition("group", "block", "other").select("x", "y").mapInArrow(run, "a long, b long")
 
 
-def leaf_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links in regions of a few members, which a task compares as they stream by, region after region."""
+def column(rows: list[dict], name: str) -> np.ndarray:
+    return np.array([r[name] for r in rows], np.int64)
+
+
+# ---------------------------------------------------------------- regions
+
+
+def sketch_links(members: DataFrame, sent: DataFrame, params: JaccardParams) -> DataFrame:
+    """(a, b): a spanning forest of each region's sketch graph, as doc_ids."""
+    sets = sent.where("own is not null").withColumn("row", F.col("batch") * LARGEST_BATCH + F.col("idx"))
+    light = blocked(members.join(sets.select("row", "doc_id", "n"), "row"), "region", "n", params)
+    fields = ["doc_id", "n", "class", "own", "lower"]
+    # the pivot stands in each block of its region
+    places = F.when(F.col("row") == F.col("region"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = light.select("region", "blocks", "row", F.explode(places).alias("block")).join(sets.select("row", *fields), "row")
+
+    def sketched(rows: list[dict]) -> Sketches:
+        return Sketches(column(rows, "n"), column(rows, "class"), [r["own"] for r in rows], [r["lower"] for r in rows], params.percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held, found = None, [], []
-
-        def flush() -> None:
-            for i, (x, n, c, d) in enumerate(held):
-                for y, m, e, f in held[:i]:
-                    # the triangle inequality bounds the difference from below, sizes the similarity from above
-                    if c and e or 100 * min(n, m) < percent * max(n, m) or not near(n, m, abs(len(d) - len(f)), percent):
-                        continue
-                    if near(n, m, len(apart(d, f)), percent):
-                        found.append((x, y))
-
-        for batch in batches:
-            for p, x, n, c, d in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if p != pivot:
-                    flush()
-                    pivot, held = p, []
-                held.append((x, n, c, np.frombuffer(d, U)))
-        flush()
-        a, b = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return members.select("pivot", "node", "n", "core", "difference").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "a long, b long")
-
-
-def recentred(members: DataFrame, percent: int) -> DataFrame:
-    """Members under a new pivot: of each region the member least different from its pivot.
-
-    A pivot taken by chance carries its own edits into every difference; the member next to it, of a group of copies, is
-    the one with the fewest edits. Regions that choose the same pivot become one.
-    """
-    own = members.groupBy("pivot").agg(F.first("pivot_n").alias("n"))
-    whole = members.select("pivot", "node", "n", "difference").union(own.select("pivot", F.col("pivot").alias("node"), "n", F.unhex(F.lit("")).alias("difference")))
-    chosen = members.groupBy("pivot").agg(F.min(F.struct(F.octet_length("difference").alias("size"), "node")).alias("c")).select(F.col("pivot"), F.col("c.node").alias("node"))
-    centre = members.join(chosen, ["pivot", "node"]).groupBy("pivot").agg(F.first("node").alias("centre"), F.first("n").alias("pivot_n"), F.first("difference").alias("b"))
-    rows = whole.join(afresh(centre, "pivot"), "pivot").where("node != centre")
-    return differences(rows.select(F.col("centre").alias("pivot"), "node", "n", "pivot_n", F.col("difference").alias("a"), "b"), percent).dropDuplicates(["pivot", "node"])
-
-
-def prefix_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links in regions of any size, of which at least one end is not linked to the pivot."""
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
-            at = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64))], names=["pivot", "node", "element"])
-
-    each = members.select("pivot", "node", "difference").mapInArrow(elements, "pivot long, node long, element long")
-    often = each.groupBy("pivot", "element").count().where("count > 1")
-    # the rare elements come first and, with one holder, find no partner: only their number counts for the prefix
-    shared = each.join(often, ["pivot", "element"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("count", "element"))).alias("shared"))
-    p = percent
-    at_most = F.expr(f"n * {100 - p} div {p}")  # of the difference between the member and any partner
-    size = F.expr("octet_length(difference) div 8")
-    by_core = F.expr(f"octet_length(difference) * {p} div 8 div {100 + p} + 1")  # p / (100 + p) of it and more is shared
-    least = F.greatest(F.lit(1), size - at_most, F.when(F.col("core"), by_core).otherwise(F.lit(1)))
-    prefix = size - least + 1 - (size - F.size("shared"))
-    held = members.join(shared, ["pivot", "node"]).withColumn("size", size).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    probes = held.select("pivot", "node", "core", "size", "n", F.size("shared").alias("all"), F.posexplode(F.expr("slice(shared, 1, prefix)")).alias("at", "s"))
-    # rest: how many elements, this one and those after it, others may share; where a pair first meets, they share no more
-    probes = settle(probes.select("pivot", "node", "core", "size", "n", (F.col("all") - F.col("at")).alias("rest"), F.col("s.element").alias("element")), "probes")
-    x = probes.where("not core")
-    y = probes.select("pivot", "element", *[F.col(c).alias(f"{c}_2") for c in ("node", "core", "size", "n", "rest")])
-    fits = f"(n + n_2) * {100 - p} >= (size + size_2 - 2 * least(rest, rest_2)) * {100 + p} and (n + n_2) * {100 - p} >= abs(size - size_2) * {100 + p} and 100 * least(n, n_2) >= {p} * greatest(n, n_2)"
-    pairs = settle(x.join(y, ["pivot", "element"]).where("node != node_2 and (core_2 or node < node_2)").where(fits).select("pivot", "node", "node_2").distinct(), "pairs")
-    both = pairs.join(members.select("pivot", "node", "n", "difference"), ["pivot", "node"]).join(members.select("pivot", F.col("node").alias("node_2"), F.col("n").alias("n_2"), F.col("difference").alias("difference_2")), ["pivot", "node_2"])
-    found = differences(both.select(F.col("node").alias("pivot"), F.col("node_2").alias("node"), F.col("n_2").alias("n"), F.col("n").alias("pivot_n"), F.col("difference").alias("a"), F.col("difference_2").alias("b")), percent)
-    return found.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-
-
-def inner_links(compared: DataFrame, params: JaccardParams) -> DataFrame:
-    """(a, b): links inside regions beside those to the pivots."""
-    sizes = compared.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.col("core").cast("int")).alias("cores")).where("m > 1 and cores < m").select("pivot", "m")
-    inside = compared.join(afresh(sizes, "pivot"), "pivot")
-    leaves = leaf_links(inside.where(F.col("m") <= params.leaf), params.percent)
-    large = settle(recentred(settle(inside.where(F.col("m") > params.leaf).drop("m"), "large"), params.percent), "recentred")
-    to_centre = large.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    still_open = large.groupBy("pivot").agg(F.max(~F.col("core")).alias("open")).where("open").select("pivot")
-    return leaves.union(to_centre).union(prefix_links(large.join(afresh(still_open, "pivot"), "pivot"), params.percent))
+        for rows in runs(batches, ["region", "block"]):
+            ids, forest = column(rows, "doc_id"), Forest(len(rows))
+            if len(rows) > 1:
+                forest.close(np.arange(len(rows)), sketched(rows).linked)
+            a, b = ([int(ids[x[i]]) for x in forest.links] for i in (0, 1))
+            if rows[0]["blocks"] > 1:
+                pivot = next(i for i, r in enumerate(rows) if r["row"] == r["region"])
+                opened = (forest.label != forest.label[pivot]).tolist()
+                yield frame([*([*x, *[None] * len(rows)] for x in (a, b)), *[[*[None] * len(a), *x] for x in ([rows[0]["region"]] * len(rows), [rows[0]["block"]] * len(rows), opened, *([r[f] for r in rows] for f in fields))]], SKETCHED)
+            elif a:
+                yield frame([a, b, *[[None] * len(a)] * 8], SKETCHED)
+
+    found = settle(rows.repartition("region", "block").sortWithinPartitions("region", "block").mapInArrow(run, SKETCHED), "sketched")
+    links = found.where("a is not null").select("a", "b")
+    points = found.where("group is not null")
+    if points.isEmpty():
+        return links
+
+    def between(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
+        sketches, ids, forest = sketched([*x, *y]), column([*x, *y], "doc_id"), Forest(len(x) + len(y))
+        others = np.arange(len(x), len(ids))
+        for i in range(len(x)):
+            forest.link(i, others[sketches.linked(i, others)])
+        return [(int(ids[i]), int(ids[j])) for i, j in forest.links]
+
+    return links.union(across_blocks(points, fields, between))
+
+
+SKETCHED = "a long, b long, group long, block int, open boolean, doc_id long, n long, class int, own binary, lower binary"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def frame(columns: list[list], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+# ---------------------------------------------------------------- clusters
+
+
+def cluster_links(documents: DataFrame, clusters: DataFrame, sent: DataFrame, params: JaccardParams) -> tuple[DataFrame, bool]:
+    """(a, b): the exact components in each cluster (doc_id, root): documents with the smallest of their component; and
+    whether these are final, no cluster being cut into blocks."""
+    sizes = sent.where("own is not null").groupBy("doc_id").agg((8 * F.sum("n")).alias("weight"))
+    light = blocked(clusters.join(sizes, "doc_id"), "root", "weight", params)
+    # the smallest document of a cluster is what differences are taken from, in each of its blocks
+    places = F.when(F.col("doc_id") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    light = light.select("doc_id", "root", "blocks", F.explode(places).alias("block"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = light.join(texts, "doc_id").select("root", "block", "blocks", "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["root", "block"]):
+            root, sets = rows[0]["root"], {}
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                values, offsets = shingle_sets(Words(pa.array([r["text"] for r in some], pa.string()), lower=True), params.words)
+                for i, r in enumerate(some):
+                    if offsets[i + 1] > offsets[i]:
+                        sets.setdefault((r["doc_id"] != root, r["doc_id"], values[offsets[i] : offsets[i + 1]].tobytes()), None)
+            keys = sorted(sets)
+            if not keys:
+                continue
+            ids, n = np.array([k[1] for k in keys], np.int64), np.array([len(k[2]) // 8 for k in keys], np.int64)
+            first = np.frombuffer(keys[0][2], U)
+            differences = [apart(first, np.frombuffer(k[2], U)) for k in keys]
+            del sets, keys
+            forest, everyone = Forest(len(ids)), np.arange(len(ids))
+            for i in np.flatnonzero(ids[1:] == ids[:-1]):  # several texts under one doc_id
+                forest.link(int(i), everyone[i + 1 : i + 2])
+            points = Differences(n, differences, params)
+            forest.link(0, np.flatnonzero(near(n, n[0], points.size, params.percent) & (everyone > 0)))
+            points.join(forest, everyone)
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, forest.label, ids)
+            least = least[forest.label]
+            a, b = ids[least != ids].tolist(), least[least != ids].tolist()
+            if rows[0]["blocks"] > 1:
+                k = len(ids)
+                opened = (forest.label != forest.label[0]).tolist()
+                yield frame([*([*x, *[None] * k] for x in (a, b)), *[[*[None] * len(a), *x] for x in ([root] * k, [rows[0]["block"]] * k, opened, ids.tolist(), n.tolist(), [d.tobytes() for d in differences])]], COMPARED)
+            elif a:
+                yield frame([a, b, *[[None] * len(a)] * 6], COMPARED)
+
+    found = settle(rows.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(run, COMPARED), "compared")
+    links = found.where("a is not null").select("a", "b")
+    points = found.where("group is not null")
+    if points.isEmpty():
+        return links, True
+
+    def between(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
+        ids, forest = column([*x, *y], "doc_id"), Forest(len(x) + len(y))
+        points = Differences(column([*x, *y], "n"), [np.frombuffer(r["difference"], U) for r in [*x, *y]], params)
+        others = np.arange(len(x), len(ids))
+        for i in range(len(x)):
+            forest.link(i, others[points.linked(i, others)])
+        return [(int(ids[i]), int(ids[j])) for i, j in forest.links]
+
+    return links.union(across_blocks(points, ["doc_id", "n", "difference"], between)), False
+
+
+COMPARED = "a long, b long, group long, block int, open boolean, doc_id long, n long, difference binary"
 
 
 def join(documents: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable by links, itself included."""
     prepare(documents.sparkSession)
-    sets = settle(sets_of(documents, params), "sets")
-    known = sets.where("node is not null and doc_id is not null")
-    slices = known.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    members = regions(sets, parts_for(slices // 8, params.part_keys))
-    nodes = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
-    first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    contents = settle(shingles(documents, nodes.join(first, "node"), params).dropDuplicates(["node"]), "contents")
-    both = members.join(contents.select("node", F.col("set").alias("a")), "node").join(contents.select(F.col("node").alias("pivot"), F.col("set").alias("b")), "pivot")
-    both = both.withColumn("n", F.expr("octet_length(a) div 8")).withColumn("pivot_n", F.expr("octet_length(b) div 8"))
-    compared = settle(differences(both, params.percent), "compared")
-    links = compared.where("core").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(inner_links(compared, params))
-    # rows with one doc_id and several sets tie these sets together
-    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("m")).where("m > 1 and a != b").select("doc_id", "a")
-    ties = known.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").select("a", "b")
-    roots = components(links.union(ties))
-    classes = first.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = settle(classes.join(least, "root").select("node", "component_id"), "found")
-    rows = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return rows.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a part has room for its share of the slices, two in five shingles at most
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = settle(send(documents, params, parts_for(total // 15, params.part_keys)), "sent")
+    members = settle(regions(sent), "members")
+    edges = sketch_links(members, sent, params)
+    clusters = settle(components(edges).select(F.col("node").alias("doc_id"), "root"), "clusters")
+    links, final = cluster_links(documents, clusters, sent, params)
+    roots = links.select(F.col("a").alias("doc_id"), F.col("b").alias("root")) if final else components(links).select(F.col("node").alias("doc_id"), "root")
+    rows = settle(sent.where("part is null").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2"), "rows")
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    sets = known.join(roots.groupBy("doc_id").agg(F.min("root").alias("root")), "doc_id", "left").groupBy("h1", "h2").agg(F.min(F.coalesce("root", "doc_id")).alias("component_id"))
+    sets = settle(sets, "sets")
+    # several texts under one doc_id tie their components together
+    several = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a != b").select("doc_id")
+    ties = settle(known.join(several, "doc_id").join(sets, ["h1", "h2"]).select("doc_id", "component_id").distinct(), "ties")
+    if not ties.isEmpty():
+        tied = components(ties.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        sets = sets.join(tied.select(F.col("node").alias("component_id"), "root"), "component_id", "left").select("h1", "h2", F.coalesce("root", "component_id").alias("component_id"))
+    discard(sent, members, clusters)
+    found = rows.join(sets, ["h1", "h2"], "left")
+    whose = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return found.select("doc_id", "n_shingles", whose.alias("component_id"))

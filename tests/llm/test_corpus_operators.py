@@ -75,46 +75,67 @@ def test_jaccard_join_odd_tables(spark):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
-def test_jaccard_join_when_cores_come_between_its_scans(spark, monkeypatch):
-    keys = {"spark.sql.leafNodeDefaultParallelism": "1", "spark.sql.files.openCostInBytes": "1"}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    texts = corpus()
-    settle = ngram_jaccard.settle
-
-    def settled(df, name):
-        out = settle(df, name)
-        if name == "pivots":
-            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
-        return out
-
-    monkeypatch.setattr(ngram_jaccard, "settle", settled)
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        got = ngram_jaccard.join(documents(spark, texts).repartition(8), ngram_jaccard.JaccardParams(words=3, percent=90)).collect()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert sorted(map(tuple, got)) == brute_components(list(enumerate(texts)), 3, 90)
-    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
-
-
-def brute_substrings(rows, window=13):
-    first = {}
-    cut = [(i, WORD.findall(t or "")) for i, t in rows]
-    for i, w in cut:
-        for j in range(len(w) - window + 1):
-            key = tuple(w[j : j + window])
-            if i is not None:
-                first[key] = min(first.get(key, i), i)
-    out = []
-    for i, w in cut:
-        gone = [False] * len(w)
-        for j in range(len(w) - window + 1):
-            if i is not None and first[tuple(w[j : j + window])] < i:
-                gone[j : j + window] = [True] * window
-        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
-    return sorted(out, key=str)
+def test_jaccard_join_of_groups_in_blocks(spark):
+    """Regions and clusters that one task may not hold whole."""
+    texts = corpus(2, 60)
+    params = ngram_jaccard.JaccardParams(words=3, percent=80, leaf=4, block=8, pivots=3)
+    assert sorted(map(tuple, ngram_jaccard.join(documents(spark, texts), params).collect())) == brute_components(list(enumerate(texts)), 3, 80)
+
+
+@pytest.mark.parametrize("copies", [300, 900])
+def test_jaccard_join_compares_few_members_of_a_group_of_near_copies(spark, monkeypatch, copies):
+    """Edits come from a pool of twelve, so most copies share some of them."""
+    rng = random.Random(copies)
+    base = [f"w{i}" for i in range(200)]
+    pool = [(rng.randrange(200), f"e{j}") for j in range(12)]
+    texts = []
+    for _ in range(copies):
+        w = list(base)
+        for at, e in rng.sample(pool, rng.randint(1, 6)):
+            w[at] = e
+        texts.append(" ".join(w))
+    params, n = ngram_jaccard.JaccardParams(words=3, percent=90), 0
+    sets = [sorted({hash(tuple(w[j : j + 3])) % 2**63 for w in [t.split()] for j in range(len(w) - 2)}) for t in dict.fromkeys(texts)]
+    first = np.array(sets[0], np.uint64)
+    points = ngram_jaccard.Differences(np.array([len(x) for x in sets]), [ngram_jaccard.apart(first, np.array(x, np.uint64)) for x in sets], params)
+    plain = points.apart
+
+    def counted(y, among):
+        nonlocal n
+        n += len(among)
+        return plain(y, among)
+
+    points.apart = counted
+    forest = ngram_jaccard.Forest(len(sets))
+    points.join(forest, np.arange(len(sets)))
+    assert n <= 60 * len(sets)
+    if copies == 300:
+        assert sorted(map(tuple, ngram_jaccard.join(documents(spark, texts), params).collect())) == brute_components(list(enumerate(texts)), 3, 90)
+
+
+def test_forest_in_cells_matches_brute_force():
+    """Groups far apart and chains of links: every leaf size finds the components of all pairs."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(8):
+        at = np.unique(rng.integers(1, 1 << 60, 80, dtype=np.uint64))
+        for _ in range(25):
+            drop = rng.random(len(at)) < 0.08
+            at = np.unique(np.concatenate([at[~drop], rng.integers(1, 1 << 60, int(drop.sum()) + rng.integers(0, 2), dtype=np.uint64)]))
+            sets.append(at)
+    for percent in (70, 80, 90):
+        want = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    want[want == want[i]] = want[j]
+        for leaf in (1, 8, 500):
+            params = ngram_jaccard.JaccardParams(percent=percent, leaf=leaf)
+            points = ngram_jaccard.Differences(np.array([len(x) for x in sets]), [ngram_jaccard.apart(sets[0], x) for x in sets], params)
+            forest = ngram_jaccard.Forest(len(sets))
+            points.join(forest, np.arange(len(sets)))
+            assert len(np.unique(forest.label)) == len(np.unique(want)) == len(np.unique(np.stack([forest.label, want]), axis=1).T)
 
 
 def test_substring_dedup(spark):
