@@ -48,12 +48,12 @@ def brute_components(rows, k, percent):
         w = WORD.findall((t or "").translate(LOWER))
         sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
     root = list(range(len(rows)))
-    for _ in rows:
-        for i, a in enumerate(sets):
-            for j in range(i):
-                b = sets[j]
-                if (a and b and 100 * len(a & b) >= percent * len(a | b)) or rows[i][0] == rows[j][0]:
-                    root[i] = root[j] = min(root[i], root[j])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if root[i] != root[j] and ((a and b and 100 * len(a & b) >= percent * len(a | b)) or rows[i][0] == rows[j][0]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
     least = {}
     for i, r in enumerate(root):
         least[r] = min(least.get(r, 1 << 60), rows[i][0])

@@ -39,3 +39,32 @@ def test_pipeline(spark, tmp_path):
     assert ids[4] == ids[3]
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.count() == docs.count()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, one doc_id with two texts, columns that operators make, an empty table."""
+    rng = random.Random(4)
+    make = lambda n=60: " ".join("".join(rng.choice(["the", "ing", "wh", "on"]) for _ in range(3)) for _ in range(n))
+    a, b, c = make(), make(), make()
+    names = ["kept", "n_words", "n_removed", "spans", "score", "predicted", "lang_pred", "stays", "component_id", "others", "own"]
+    rows = [(0, a), (1, b), (1, c), (1, c), (2, a + " more"), (3, None), (4, ""), (None, a), (None, None), (5, f"{make(20)} {b}"), (6, "word " * 30000), (7, "é")]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names)
+    table = spark.createDataFrame([(i, t, "aa", *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(0, 1), (2, 0), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (table, table.limit(0)):
+            docs.write.mode("overwrite").parquet(str(tmp_path / "docs"))
+            out = stage(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+            if k == 4:
+                assert (out.count() == 0) == (docs is not table)
+                continue
+            assert out.columns == docs.columns
+            got = out.collect()
+            at = {f"score{k}": k for k in range(len(rows))}
+            assert all(r[n] == f"{n}{at[r['score']]}" for r in got for n in names)
+            if docs is not table:
+                assert not got
+            elif name == "n-gram Jaccard join":
+                assert sorted(map(str, [(r["doc_id"], r["text"]) for r in got])) == sorted(map(str, [rows[i] for i in (0, 1, 2, 5, 6, 7, 8, 9, 10, 11)]))
+            elif name == "substring dedup":
+                assert len(got) == len(rows) and {r["text"] for r in got if r["doc_id"] == 2} == {"more"}
