@@ -3,15 +3,17 @@
 Distances between unrelated documents are all 1, so cells around document pivots alone would split nothing, and each
 document would stand in every cell. The join therefore goes down three levels, all exact.
 
-Regions. A set of n shingles is dealt by hash into K slices, where K exceeds the largest symmetric difference that a
-linked pair of its size class can have (plus slack for empty slices). By the pigeonhole principle linked sets agree on a
-whole slice. The first holder of a slice value is the pivot of its region, and a set belongs to the regions of all its
-slices, so sets near a border stand in each; size classes overlap by the window 1 / threshold.
-
-Sketches. Each slice is two slots, and a slot's content is hashed to four bits. Unequal slots are a metric that no
-symmetric difference is below, so members of a region whose sketches are further apart than a linked pair may be are
-ruled out before any text moves. What is left of a region is a spanning forest of its sketch graph, not a list of pairs;
-the components of all forests are the clusters in which every linked pair lies.
+Regions. A set of n shingles is dealt by hash into S slices, where S is twice the largest symmetric difference d that a
+linked pair of its size class can have (and two more). Linked sets agree on all slices but d, so in any common order of slice values they
+agree on one of their d + 1 first ones. Values are ordered by the frequency of their rarest shingle, so passages and
+phrases that many documents share stand last and join no unrelated ones. The first holder of a slice value is the pivot
+of its region, and a set belongs to the regions of all its slices, so sets near a border stand in each; size classes
+overlap by the window 1 / threshold.
+
+Sketches. A slice's content is hashed to four bits. Unequal slices are a metric that no symmetric difference is below, so
+members of a region whose sketches are further apart than a linked pair may be are ruled out before any text moves. What
+is left of a region is a spanning forest of its sketch graph, not a list of pairs; the components of all forests are the
+clusters in which every linked pair lies.
 
 Clusters. The members' differences from the cluster's first document are the points of a metric space (sizes of
 symmetric differences). A cluster is cut into Voronoi cells around pivots that lie far apart; a member stands in each
@@ -41,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import MULTIPLIERS, U, Words, components, discard, mix, parts_for, prepare, settle, shingle_sets, summed
+from granary.llm.common import MULTIPLIERS, U, Words, afresh, components, discard, mix, parts_for, prepare, settle, shingle_sets, summed
 
 
 @dataclass(frozen=True)
@@ -75,39 +77,64 @@ class Classes:
         self.low = np.array(low, np.int64)
         largest = self.low[1:] - 1
         self.difference = largest * (q - p) // p  # of x and y at most, if x is in the class and not the larger
-        self.slack = np.where(self.difference < 8, 1, 2)
-        self.slices = self.difference + 1 + self.slack
+        self.slices = 2 * self.difference + 2
         self.window = largest * q // p  # largest partner
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
 
 
-def sliced(values: np.ndarray, offsets: np.ndarray, classes: Classes, lower: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+BUCKETS = 20  # bits of a shingle's hash by which frequencies are counted
+
+
+def frequencies(documents: DataFrame, params: JaccardParams) -> tuple[np.ndarray, int]:
+    """A level (0 to 254) for each bucket of shingle hashes, by the documents that hold them, and the number of shingles.
+
+    A task reports the buckets that stand out among its own; at most 2**20 numbers reach the driver. Levels decide in
+    which order slices are taken, never what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << BUCKETS, np.int64)
+        for b in batches:
+            values, _ = shingle_sets(Words(b.column(0), lower=True), params.words)
+            count += np.bincount((values >> U(64 - BUCKETS)).astype(np.int64), minlength=len(count))
+        mean = count.mean()
+        out = np.flatnonzero(count > mean + 8 * np.sqrt(mean) + 8)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(out, -1)), pa.array(np.append(count[out], count.sum()))], names=["bucket", "n"])
+
+    counted = documents.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long")
+    found = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (np.asarray(c).astype(np.int64) for c in (found.column("bucket"), found.column("n")))
+    level = np.zeros(1 << BUCKETS, np.uint8)
+    level[bucket[bucket >= 0]] = 1 + np.minimum(253, 6 * np.log2(np.maximum(1, n[bucket >= 0]))).astype(np.uint8)
+    return level, int(n[bucket < 0].sum())
+
+
+def sliced(values: np.ndarray, offsets: np.ndarray, classes: Classes, lower: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the sets end to end in values that have slices in their own class, or the one below it: their indices, the set
-    (index) and key of each slice, and their sketches, a byte a slice, end to end with offsets."""
+    (index) and key of each of their first slices, and their sketches, half a byte a slice, end to end with offsets."""
     sizes = np.diff(offsets)
     c = classes.of(sizes) - lower
     take = np.flatnonzero((c >= 0) & ((sizes <= classes.window[np.maximum(c, 0)]) if lower else True))
     if not len(take):
         return take, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    n, k = sizes[take], classes.slices[c[take]]
+    c = c[take]
+    n, k = sizes[take], classes.slices[c]
     base = np.concatenate([[0], np.cumsum(k)])
     index = np.repeat(offsets[take] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    spread = mix(values[index] ^ MULTIPLIERS[48]) >> U(32)
-    slot = np.repeat(2 * base[:-1], n) + ((spread * np.repeat(2 * k, n).astype(U)) >> U(32)).astype(np.int64)
-    total = np.zeros(2 * base[-1], U)
-    np.add.at(total, slot, mix(values[index] + MULTIPLIERS[49]))
-    filled = np.bincount(slot >> 1, minlength=base[-1]) > 0
+    held = values[index]
+    spread = mix(held ^ MULTIPLIERS[48]) >> U(32)
+    slot = np.repeat(base[:-1], n) + ((spread * np.repeat(k, n).astype(U)) >> U(32)).astype(np.int64)
+    total, rarest = np.zeros(base[-1], U), np.full(base[-1], 255, np.uint8)  # empty slices come last
+    np.add.at(total, slot, mix(held + MULTIPLIERS[49]))
+    np.minimum.at(rarest, slot, level[(held >> U(64 - BUCKETS)).astype(np.int64)])
     nibble = (mix(total) >> U(60)).astype(np.uint8)
-    sketch = (nibble[::2] << 4) | nibble[1::2]
-    who = np.repeat(np.arange(len(take)), k)
-    empty = np.bincount(who[~filled], minlength=len(take))
-    # a pair that differs in all its filled slices has more than slack empty ones in common: those sets send these too
-    keep = filled | (empty > classes.slack[c[take]])[who]
-    place = (np.arange(base[-1]) - base[who]).astype(U)
-    key = mix(total[::2] + total[1::2] + mix((place << U(8)) + c[take][who].astype(U) + MULTIPLIERS[50]))
-    return take, take[who[keep]], key[keep], sketch, base
+    place = (np.arange(base[-1]) - np.repeat(base[:-1], k)).astype(U)
+    key = mix(total + mix((place << U(8)) + np.repeat(c, k).astype(U) + MULTIPLIERS[50]))
+    order = (rarest.astype(U) << U(56)) | (key >> U(8))
+    first = [a + np.argpartition(order[a:b], d)[: d + 1] for a, b, d in zip(base[:-1], base[1:], classes.difference[c], strict=True)]
+    return take, np.repeat(take, classes.difference[c] + 1), key[np.concatenate(first)], (nibble[::2] << 4) | nibble[1::2], base // 2
 
 
 def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +147,11 @@ SENT = "part long, batch long, blob binary, idx int, doc_id long, n long, h1 lon
 LARGEST_BATCH = 1 << 15  # an index has 15 bits, one more tells that the batch has the key several times
 
 
-def send(documents: DataFrame, params: JaccardParams, parts: int, most: int = 16 << 20) -> DataFrame:
+def send(documents: DataFrame, params: JaccardParams, level: np.ndarray, parts: int, most: int = 16 << 20) -> DataFrame:
     """A row a document (part null), with sketches where its set is the first of its batch; a row for each part that a
     batch has keys of (the batch's first holder of each); a row (part -1) with the keys that a batch has several times."""
     none = lambda k, kind: pa.nulls(k, kind)
+    levels = documents.sparkSession.sparkContext.broadcast(level)  # 2**20 bytes
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, size, rows = [], 0, 0
@@ -156,7 +184,7 @@ def send(documents: DataFrame, params: JaccardParams, parts: int, most: int = 16
             own_values = values[np.repeat(offsets[stands] - ends[:-1], n[stands]) + np.arange(ends[-1])]
             sketches, sets, keys = [[None] * m, [None] * m], [], []
             for lower in (0, 1):
-                take, owner, key, sketch, base = sliced(own_values, ends, classes, lower)
+                take, owner, key, sketch, base = sliced(own_values, ends, classes, lower, levels.value)
                 for j, i in enumerate(take):
                     sketches[lower][stands[i]] = sketch[base[j] : base[j + 1]].tobytes()
                 sets.append(stands[owner])
@@ -370,6 +398,72 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d[once]
 
 
+def small_forests(table: pa.Table, begin: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (rows of the table) of a sketch forest of each of some small groups, all of whose pairs are compared at once."""
+    n, kind = (np.asarray(table.column(c)).astype(np.int64) for c in ("n", "class"))
+    data, start = [], []
+    for c in ("own", "lower"):
+        a = table.column(c).chunk(0)
+        offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+        start.append(offsets[:-1] + sum(map(len, data)))
+        data.append(np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8))
+        length = np.diff(offsets) if c == "own" else length
+    data, lowered = np.concatenate(data), np.asarray(table.column("lower").chunk(0).is_valid())
+    pairs = [(begin[size == s][:, None] + np.stack(np.triu_indices(s, 1))[:, None, :]).reshape(2, -1) for s in np.unique(size)]
+    i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    i, j = np.where(kind[i] <= kind[j], i, j), np.where(kind[i] <= kind[j], j, i)
+    step = kind[j] - kind[i]
+    may = ((step == 0) | ((step == 1) & lowered[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    i, j, step = i[may], j[may], step[may]
+    ends = np.cumsum(length[i])
+    root, links, at = {}, [], 0
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    while at < len(i):  # some megabytes of sketches at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (4 << 20))))
+        a, b, k = i[at:to], j[at:to], length[i[at:to]]
+        before = np.cumsum(k) - k
+        inside = np.arange(k.sum()) - np.repeat(before, k)
+        x = np.repeat(start[0][a], k) + inside
+        y = np.repeat(np.where(step[at:to] == 0, start[0][b], start[1][b]), k) + inside
+        apart = np.add.reduceat(PAIRS[data[x] ^ data[y]], before, dtype=np.int64)
+        hit = near(n[a], n[b], apart, percent)
+        for p, q in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+            r, t = find(p), find(q)
+            if r != t:
+                root[max(r, t)] = min(r, t)
+                links.append((p, q))
+        at = to
+    return links
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int = 1 << 13) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, rows that follow each other with equal values, and where groups begin."""
+    held: list[pa.Table] = []
+
+    def cut(t: pa.Table) -> np.ndarray:
+        keys = [np.asarray(t.column(c)) for c in by]
+        return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+    for b in batches:
+        if len(b):
+            held.append(pa.Table.from_batches([b]))
+        if sum(map(len, held)) >= least:
+            t = pa.concat_tables(held).combine_chunks()
+            begin = cut(t)
+            if len(begin) > 1:
+                yield t.slice(0, int(begin[-1])), begin[:-1]
+                t = t.slice(int(begin[-1]))
+            held = [t]
+    if held:
+        t = pa.concat_tables(held).combine_chunks()
+        yield t, cut(t)
+
+
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[dict]]:
     """Rows that follow each other with equal values in some columns."""
     held: list[dict] = []
@@ -390,7 +484,7 @@ def blocked(rows: DataFrame, group: str, weight: str, params: JaccardParams) ->
     """rows with blocks, how many their group is cut into, and block, the one that a row goes to."""
     sizes = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / params.block), F.ceil(F.sum(weight) / params.block_bytes)).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    return rows.join(sizes.where("blocks > 1"), group, "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    return rows.join(afresh(sizes.where("blocks > 1"), group), group, "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
 
 
 def across_blocks(points: DataFrame, fields: list[str], links: Callable[[list[dict], list[dict]], list[tuple[int, int]]]) -> DataFrame:
@@ -430,17 +524,25 @@ def sketch_links(members: DataFrame, sent: DataFrame, params: JaccardParams) ->
         return Sketches(column(rows, "n"), column(rows, "class"), [r["own"] for r in rows], [r["lower"] for r in rows], params.percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, ["region", "block"]):
-            ids, forest = column(rows, "doc_id"), Forest(len(rows))
-            if len(rows) > 1:
-                forest.close(np.arange(len(rows)), sketched(rows).linked)
-            a, b = ([int(ids[x[i]]) for x in forest.links] for i in (0, 1))
-            if rows[0]["blocks"] > 1:
-                pivot = next(i for i, r in enumerate(rows) if r["row"] == r["region"])
-                opened = (forest.label != forest.label[pivot]).tolist()
-                yield frame([*([*x, *[None] * len(rows)] for x in (a, b)), *[[*[None] * len(a), *x] for x in ([rows[0]["region"]] * len(rows), [rows[0]["block"]] * len(rows), opened, *([r[f] for r in rows] for f in fields))]], SKETCHED)
-            elif a:
+        for table, begin in whole_groups(batches, ["region", "block"]):
+            size = np.diff(np.concatenate([begin, [len(table)]]))
+            cut, doc_ids = np.asarray(table.column("blocks"))[begin] > 1, np.asarray(table.column("doc_id"))
+            small = (size <= 16) & ~cut
+            links = small_forests(table, begin[small & (size > 1)], size[small & (size > 1)], params.percent)
+            if links:
+                a, b = doc_ids[np.array(links)].T.tolist()
                 yield frame([a, b, *[[None] * len(a)] * 8], SKETCHED)
+            for at in np.flatnonzero(~small):
+                rows = table.slice(int(begin[at]), int(size[at])).to_pylist()
+                ids, forest = column(rows, "doc_id"), Forest(len(rows))
+                forest.close(np.arange(len(rows)), sketched(rows).linked)
+                a, b = ([int(ids[x[i]]) for x in forest.links] for i in (0, 1))
+                if cut[at]:
+                    pivot = next(i for i, r in enumerate(rows) if r["row"] == r["region"])
+                    opened = (forest.label != forest.label[pivot]).tolist()
+                    yield frame([*([*x, *[None] * len(rows)] for x in (a, b)), *[[*[None] * len(a), *x] for x in ([rows[0]["region"]] * len(rows), [rows[0]["block"]] * len(rows), opened, *([r[f] for r in rows] for f in fields))]], SKETCHED)
+                elif a:
+                    yield frame([a, b, *[[None] * len(a)] * 8], SKETCHED)
 
     found = settle(rows.repartition("region", "block").sortWithinPartitions("region", "block").mapInArrow(run, SKETCHED), "sketched")
     links = found.where("a is not null").select("a", "b")
@@ -537,9 +639,9 @@ COMPARED = "a long, b long, group long, block int, open boolean, doc_id long, n
 def join(documents: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable by links, itself included."""
     prepare(documents.sparkSession)
-    # a part has room for its share of the slices, two in five shingles at most
-    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = settle(send(documents, params, parts_for(total // 15, params.part_keys)), "sent")
+    level, total = frequencies(documents, params)
+    # a set sends a slice for two to five of its shingles
+    sent = settle(send(documents, params, level, parts_for(total // 4, params.part_keys)), "sent")
     members = settle(regions(sent), "members")
     edges = sketch_links(members, sent, params)
     clusters = settle(components(edges).select(F.col("node").alias("doc_id"), "root"), "clusters")
