@@ -211,6 +211,49 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_clusters_copies_and_clashing_columns(spark):
+    """Tight clusters, one of a third of all vectors; equal vectors; cells smaller than clusters. Links as by brute force,
+    and the comparisons get far fewer vectors than all blocks meeting all blocks would."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 64))
+    x = np.concatenate([c + 0.12 * rng.normal(size=(k, 64)) for c, k in zip(centres, [300, *[20] * 29], strict=True)])
+    x = np.concatenate([x, x[:40], 3 * x[40:60]])
+    rows = [(i, v.tolist(), i, "k", "r") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links long, kept string, root string")
+    got = {r["vec_id"]: r for r in embedding_dedup.dedup(df, embedding_dedup.EmbeddingParams(block=48)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    for _ in range(10):
+        root = np.array([min([root[i], *root[near[i]]]) for i in range(len(x))])
+    assert near.sum() > 10000 and all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), root[i]) for i in range(len(x)))
+
+
+def test_estimates_stay_within_their_bound():
+    """Pairs at the threshold are never ruled out; pairs far from it hardly ever pass."""
+    rng = np.random.default_rng(2)
+    x, z = rng.normal(size=(2, 500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
+    params, turn = embedding_dedup.EmbeddingParams(), embedding_dedup.rotation(64, 3)
+    codes, factors = embedding_dedup.encode(x, turn)
+    a, b = embedding_dedup.near(codes, factors, *embedding_dedup.bytes_of(y @ turn), params)
+    assert set(range(500)) <= set(a[a == b]) and len(a) < 0.1 * 500 * 500
+
+
+def test_ann_ties_repeated_ids_and_clashing_columns(spark):
+    x = np.random.default_rng(1).normal(size=(300, 16))
+    x[100:200] = x[99]
+    rows = [(i, v.tolist(), 1.0, 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[3], (3, (x[3] + 9).tolist(), 0.0, 0)], "vec_id long, embedding array<double>, score double, rank int")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") == 150, ann.AnnParams(slab=40, probe_share=1.0)).collect():
+        got[r["rank"]] = r["vec_id"]
+    assert [got[i] for i in range(1, 21)] == list(range(99, 119))
+
+
 def test_ann_recall_and_scores(spark):
     rows = vectors(600)
     df = spark.createDataFrame([*rows, *ODD], "vec_id long, embedding array<double>")
