@@ -27,8 +27,10 @@ class EngineConfig:
     fusion_retrieval: float = 0.7
     fusion_pagerank: float = 0.3
     pagerank_alpha: float = 0.85
-    pagerank_iterations: int = 20
+    pagerank_iterations: int = 100
+    pagerank_tolerance: float = 1e-6
     fim_support: int = 3
+    fim_triple_support: int = 3
     fim_top_n: int = 3
     fim_min_idf: float = 3.0
     expand_queries: bool = False

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The suffix rules of steps 2 to 4 of the paper.
 STEP_2 = "ational ate, tional tion, enci ence, anci ance, izer ize, abli able, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble"
@@ -80,6 +80,29 @@ def stem(word: str) -> str:
     return word
 
 
+_known: dict[str, str] = {}
+
+
+def known(word: str) -> str:
+    """stem(word), remembered for a bounded number of words."""
+    found = _known.get(word)
+    if found is None:
+        if len(_known) >= 1 << 18:
+            _known.clear()
+        found = _known[word] = stem(word)
+    return found
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stem_arrays(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda ts: [known(t) for t in ts], na_action="ignore")
+
+
+def stemmed(tokens: DataFrame) -> DataFrame:
+    """tokens with each term's stem in its place: terms stay in their row, nothing is shuffled."""
+    return tokens.withColumn("terms", _stem_arrays("terms"))
+
+
 @F.pandas_udf(StringType())
 def _stems(terms: pd.Series) -> pd.Series:
     return terms.map(stem, na_action="ignore")
@@ -89,7 +112,3 @@ def stem_terms(rows: DataFrame, term: str = "term") -> DataFrame:
     """rows with the column stem; each distinct term is stemmed once."""
     stems = rows.select(term).distinct().withColumn("stem", _stems(F.col(term)))
     return rows.join(stems, term)
-
-
-def stem_column(term: Column) -> Column:
-    return _stems(term)

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # English stopwords, the usual public list.
 STOPWORDS = tuple(
@@ -29,6 +31,10 @@ STOPWORDS = tuple(
 ACCENTS = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(c))) > 1 and all(map(unicodedata.combining, d[1:]))}
 
 
+#: A running header as a pattern; corpora name their own.
+SAMPLE_HEADER = r"Annual.*?Manual"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -79,9 +85,25 @@ def vectorizer_tokens(text: Column | str) -> Column:
     return F.filter(word_runs(F.lower(strip_accents(text))), lambda w: F.length(w) >= 2)
 
 
-def clean(text: Column | str, header: str = r"NUST.*?Handbook") -> Column:
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    """Texts in the composed form of compatible characters, without characters that are no valid text."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t.encode("utf-8", "ignore").decode("utf-8")), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def extracted(text: Column | str) -> Column:
+    """Text as a page reader should hand it on: ligatures apart, words joined over line ends."""
+    return F.regexp_replace(_decomposed(col(text)), "-\n", "")
+
+
+def clean(text: Column | str, header: str = SAMPLE_HEADER) -> Column:
     """The ordered cleaning steps; header names the running header whose lines (ending in a page number) go."""
-    t = col(text)
+    t = _composed(col(text))
     t = F.regexp_replace(t, "-\n", "")
     t = F.regexp_replace(t, "([^\n])\n([^\n])", "$1 $2")
     t = F.regexp_replace(t, "([^\n])\n([^\n])", "$1 $2")
@@ -92,10 +114,6 @@ def clean(text: Column | str, header: str = r"NUST.*?Handbook") -> Column:
     return F.array_join(parts, "\n\n")
 
 
-def dehyphenate(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), "-\n", "")
-
-
 def is_contents_page(text: Column | str) -> Column:
     """At least eight runs of four or more dots, or five lines that end in dots and a page number."""
     leaders = F.size(F.regexp_extract_all(col(text), F.lit(r"(\.{4,})"), F.lit(1)))
@@ -162,22 +180,3 @@ def citations(answer: Column | str, excerpts: Column) -> Column:
 def before(word: Column) -> Column:
     """A pattern that cuts a text before each hit of a word, overlapping ones too."""
     return F.concat(F.lit("(?=\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-
-
-def spans(text: Column | str, query: Column | str) -> Column:
-    """Merged [start, end) spans of all hits, overlapping ones too, of the query's lower-case words."""
-    t = F.lower(F.coalesce(col(text), F.lit("")))
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col(query), F.lit(""))), r"\s+"), lambda w: w != ""))
-    pieces = lambda w: F.split(t, before(w))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
-    step = lambda acc, piece: F.struct((acc["next"] + F.length(piece)).alias("next"), F.array_append(acc["at"], acc["next"] + F.length(piece)).alias("at"))
-    # the last place is the end of the text, no hit; the first character is no cut, but may be one
-    cuts = lambda w: F.aggregate(pieces(w), start, step, lambda acc: F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1))
-    at = lambda w: F.when(F.startswith(t, w), F.concat(F.array(F.lit(1)), cuts(w))).otherwise(cuts(w))
-    hits = F.array_sort(F.flatten(F.transform(words, lambda w: F.transform(at(w), lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(w)).alias("end"))))))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(
-        hits,
-        none,
-        lambda acc, h: F.when((F.size(acc) > 0) & (h["start"] <= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(-1))), F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], h["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(h))),
-    )

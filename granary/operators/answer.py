@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators import retrieve
 
 NOTHING = "No sufficiently clean evidence was found for this question."
 
@@ -25,10 +26,24 @@ def extractive(results: DataFrame, chunks: DataFrame, queries: DataFrame, least_
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NOTHING)).alias("answer"), "chunk_id")
 
 
-def prompts(results: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, prompt): the question under its numbered excerpts."""
-    rows = results.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "text", "source_file"), "chunk_id")
-    line = F.concat(F.lit("Excerpt "), F.col("rank").cast("string"), F.lit(" ("), F.when(F.col("source_file") == "", "Unknown section").otherwise(F.coalesce("source_file", F.lit("Unknown section"))), F.lit("):\n"), T.snippet("text"))
+def best_evidence(results: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, chunk_id) that each query's answer is made from: what hybrid found, else what tfidf found, else the
+    best k of all methods' results."""
+    merged = retrieve.merged(results, k).select("query_id", "rank", "chunk_id")
+    found = None
+    for method, rows in [(m, results.where((F.col("method") == m) & (F.col("rank") <= k)).select("query_id", "rank", "chunk_id")) for m in ("hybrid", "tfidf")] + [("merged", merged)]:
+        found = rows if found is None else found.union(rows.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+    return found
+
+
+def prompts(results: DataFrame, chunks: DataFrame, queries: DataFrame, longest: int | None = None) -> DataFrame:
+    """(query_id, prompt): the question under its numbered excerpts, each whole with its section and page. longest: cut
+    excerpts after so many characters. Chunks without section_title or page_start have an unknown section, page 1."""
+    optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in chunks.columns else F.lit(default)
+    named = chunks.select("chunk_id", "text", optional("section_title", "").alias("section"), optional("page_start", 1).alias("page"))
+    rows = results.select("query_id", "rank", "chunk_id").join(named, "chunk_id")
+    section = F.when(F.col("section") == "", "Unknown section").otherwise(F.col("section"))
+    line = F.concat(F.lit("Excerpt "), F.col("rank").cast("string"), F.lit(" ("), section, F.lit(", page "), F.col("page").cast("string"), F.lit("):\n"), F.trim("text") if longest is None else T.snippet("text", longest))
     blocks = rows.withColumn("line", line).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("excerpts"))
     return queries.join(blocks, "query_id", "left").select("query_id", F.concat(F.coalesce("excerpts", F.lit("")), F.lit("\n\nQuestion: "), "text").alias("prompt"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.session import against
 
 LABELS = ("correct", "partial", "incorrect", "unscored")
 
@@ -13,7 +14,7 @@ LABELS = ("correct", "partial", "incorrect", "unscored")
 def relevant(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id): chunks that contain the query's text. Queries are a stated set, sent to every chunk."""
     q = queries.select("query_id", F.col("text").alias("passage"))
-    return chunks.select("chunk_id", "text").crossJoin(F.broadcast(q)).where(F.expr("contains(text, passage)")).select("query_id", "chunk_id")
+    return against(chunks.select("chunk_id", "text"), q).where(F.expr("contains(text, passage)")).select("query_id", "chunk_id")
 
 
 def judged(results: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -74,6 +75,12 @@ def label_counts(scores: DataFrame) -> DataFrame:
     return scores.withColumn("label", known).groupBy("method").pivot("label", list(LABELS)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def label_template(queries: DataFrame, methods: DataFrame) -> DataFrame:
-    """One unscored row for each query and method."""
+def worksheet(queries: DataFrame, methods: DataFrame) -> DataFrame:
+    """(query_id, method, score): one unscored row for each query and method, to be labelled."""
     return queries.select("query_id").crossJoin(methods).withColumn("score", F.lit("unscored"))
+
+
+def candidate_rates(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row from (query_id, candidates): the share of queries with a candidate and their mean number over all queries."""
+    each = queries.select("query_id").join(candidates.groupBy("query_id").agg(F.max("candidates").alias("c")), "query_id", "left")
+    return each.agg(F.avg((F.coalesce("c", F.lit(0)) > 0).cast("int")).alias("candidate_rate"), F.avg(F.coalesce("c", F.lit(0))).alias("mean_candidates"))

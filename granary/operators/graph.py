@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.session import shared_folder
 
 
 def reference_edges(chunks: DataFrame) -> DataFrame:
@@ -27,20 +27,18 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares, and read back: the lineage of the loop stays short."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/granary-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 20, every: int = 5) -> DataFrame:
-    """(chunk_id, rank) after a fixed number of iterations from a uniform start; dangling mass is spread uniformly.
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(chunk_id, rank) from a uniform start, until the ranks' changes sum to less than tolerance a node, or for so many
+    iterations; dangling mass is spread uniformly.
 
     Nodes without in-edges all have one and the same rank, so the loop holds only nodes with an edge; the rest is a
-    number. Edges carry their weight; each iteration is one join on src and one aggregation on dst.
+    number. Edges carry their weight; each iteration is one join on src and one aggregation on dst, is written to the
+    shared folder, and one aggregate over it gives both the dangling mass and the change.
     """
     n = nodes.count()
     if not n:
@@ -48,16 +46,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iterations
     degree = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = shared(edges.join(degree, "src").select("src", "dst", (1.0 / F.col("out")).alias("w")))
     linked = shared(weighted.select(F.col("src").alias("chunk_id")).union(weighted.select(F.col("dst").alias("chunk_id"))).distinct().join(degree.select(F.col("src").alias("chunk_id"), F.lit(1).alias("has_out")), "chunk_id", "left"))
-    inside = linked.count()
-    ranks, alone = linked.select("chunk_id", "has_out", F.lit(1.0 / n).alias("rank")), 1.0 / n
-    for i in range(iterations):
-        dangling = (ranks.where("has_out is null").agg(F.sum("rank")).first()[0] or 0.0) + alone * (n - inside)
-        base = (1 - alpha) / n + alpha * dangling / n
+    inside, held, alone = linked.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("has_out").isNull(), 1.0 / n)), F.lit(0.0))).first(), 0.0, 1.0 / n
+    inside, held = inside
+    ranks = linked.select("chunk_id", "has_out", F.lit(1.0 / n).alias("rank"))
+    for _ in range(iterations):
+        base = (1 - alpha) / n + alpha * (held + alone * (n - inside)) / n
         received = weighted.join(ranks.select(F.col("chunk_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("chunk_id")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        ranks = linked.join(received, "chunk_id", "left").select("chunk_id", "has_out", (F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        alone = base
-        if (i + 1) % every == 0:
-            ranks = shared(ranks)
+        before = ranks.select("chunk_id", "has_out", F.col("rank").alias("before"))
+        now = before.join(received, "chunk_id", "left").select("chunk_id", "has_out", (F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "before")
+        now = shared(now)
+        dangling = F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("rank"))), F.lit(0.0))
+        held, change = now.agg(dangling, F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()
+        change += abs(base - alone) * (n - inside)
+        ranks, alone = now.drop("before"), base
+        if change < n * tolerance:
+            break
     return nodes.select("chunk_id").join(ranks.select("chunk_id", "rank"), "chunk_id", "left").select("chunk_id", F.coalesce("rank", F.lit(alone)).alias("rank"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions import text as T
+from granary.functions.stem import stemmed
+
 
 def singletons(transactions: DataFrame, support: int) -> DataFrame:
     """(a, support) of terms in at least `support` chunks; transactions are distinct (chunk_id, term)."""
@@ -25,13 +28,14 @@ def pairs(transactions: DataFrame, support: int) -> DataFrame:
 
 
 def triples(transactions: DataFrame, pairs: DataFrame, support: int) -> DataFrame:
-    """(a, b, c, support), a < b < c, extending frequent pairs by frequent terms whose pairs are frequent too."""
+    """(a, b, c, support), a < b < c. A chunk's frequent pairs (a, b) are found first and extended inside its row by its
+    later terms, so again nothing but counts is shuffled; a triple whose pairs are not all frequent has too few."""
     rows = frequent(transactions, support)
-    known = pairs.select("a", "b")
-    x = rows.select("chunk_id", F.col("term").alias("a")).join(known, "a").join(rows.select("chunk_id", F.col("term").alias("b")), ["chunk_id", "b"])
-    more = known.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    y = x.join(more, "b").join(known.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi").join(rows.select("chunk_id", F.col("term").alias("c")), ["chunk_id", "c"], "left_semi")
-    return y.groupBy("a", "b", "c").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    sets = rows.groupBy("chunk_id").agg(F.array_sort(F.collect_list("term")).alias("t"))
+    two = sets.select("t", F.posexplode("t").alias("i", "a")).select("t", "i", "a", F.posexplode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("j", "b"))
+    known = two.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
+    made = known.select("a", "b", F.explode(F.slice("t", F.col("i") + F.col("j") + 3, F.size("t"))).alias("c"))
+    return made.groupBy("a", "b", "c").agg(F.count("*").alias("support")).where(F.col("support") >= support)
 
 
 def cooccurrence(pairs: DataFrame, triples: DataFrame, idf: DataFrame) -> DataFrame:
@@ -56,3 +60,10 @@ def expand(query_terms: DataFrame, cooccurrence: DataFrame, top_n: int = 3, min_
     lists = asked.groupBy("query_id").agg(F.first("terms").alias("terms"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: F.transform(F.coalesce(x["p"], F.array().cast("array<struct<place:int,co_term:string>>")), lambda y: y["co_term"])).alias("lists"))
     step = lambda acc, partner: F.concat(acc, F.slice(F.filter(partner, lambda t: ~F.array_contains(acc, t) & ~F.array_contains(F.col("terms"), t)), F.lit(1), F.lit(top_n)))
     return lists.select("query_id", F.aggregate("lists", F.array().cast("array<string>"), step).alias("expansions"))
+
+
+def expanded(queries: DataFrame, cooccurrence: DataFrame, top_n: int = 3, min_idf: float = 3.0) -> DataFrame:
+    """queries (query_id, text) with their expansions after the text."""
+    terms = stemmed(queries.select("query_id", T.tokenize("text").alias("terms")))
+    found = expand(terms, cooccurrence, top_n, min_idf)
+    return queries.join(found, "query_id").select("query_id", F.concat_ws(" ", "text", F.array_join("expansions", " ")).alias("text"))

@@ -7,10 +7,14 @@ row a band, and its matches counted are the signature's similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.config import EngineConfig
 from granary.functions import text as T
 
 PRIME = (1 << 31) - 1
@@ -31,12 +35,31 @@ def shingle_rows(tokens: DataFrame, key: str = "chunk_id") -> DataFrame:
     return tokens.select(key, F.explode(T.shingles_ub("terms")).alias("shingle"))
 
 
-def signatures(shingles: DataFrame, num_perm: int, key: str = "chunk_id") -> DataFrame:
-    """(key, slot, value). All slots are aggregates of one shuffle, partial on the map side: num_perm longs a key."""
-    h = shingles.select(key, (md5_part(F.col("shingle"), 0) % PRIME).alias("h"))
-    slots = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(coefficients, range(num_perm))])
-    long = h.select(key, "h", F.posexplode(slots).alias("slot", "c")).select(key, "slot", ((F.col("c.a") * F.col("h") + F.col("c.b")) % PRIME).alias("v"))
-    return long.groupBy(key, "slot").agg(F.min("v").alias("value"))
+def signatures(tokens: DataFrame, num_perm: int, key: str = "chunk_id") -> DataFrame:
+    """(key, slot, value) of rows with terms; no row without any. A row's shingles are hashed in the JVM and reduced to
+    num_perm minima in place, a batch of rows at a time: nothing is shuffled and no shingle becomes num_perm rows."""
+    hashed = tokens.select(key, F.transform(T.shingles_ub("terms"), lambda s: md5_part(s, 0) % PRIME).alias("h")).where(F.size("h") > 0)
+    prime, slots = np.int64(PRIME), [coefficients(i) for i in range(num_perm)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(pc.list_value_length(batch.column(1))).astype(np.int64)
+            ends, at = np.cumsum(size), 0
+            while at < len(size):  # about a million shingles at a time
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+                h = np.asarray(batch.column(1).slice(at, to - at).flatten()).astype(np.int64)
+                begin, out = np.concatenate([[0], np.cumsum(size[at : to - 1])]), np.empty((to - at, num_perm), np.int64)
+                for i, (a, b) in enumerate(slots):
+                    v = a * h + b
+                    for _ in range(2):  # the remainder of a prime one below a power of two
+                        v = (v & prime) + (v >> 31)
+                    v[v == prime] = 0
+                    out[:, i] = np.minimum.reduceat(v, begin)
+                keys = batch.column(0).slice(at, to - at).take(pa.array(np.repeat(np.arange(to - at), num_perm)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(num_perm, dtype=np.int32), to - at)), pa.array(out.ravel())], names=[key, "slot", "value"])
+                at = to
+
+    return hashed.mapInArrow(run, f"{key} {hashed.schema[key].dataType.simpleString()}, slot int, value long")
 
 
 def bands(signatures: DataFrame, rows: int, key: str = "chunk_id") -> DataFrame:
@@ -69,13 +92,3 @@ def exact_jaccard(pairs: DataFrame, query_shingles: DataFrame, chunk_shingles: D
     n = F.coalesce("both", F.lit(0))
     union = F.coalesce("qn", F.lit(0)) + F.coalesce("cn", F.lit(0)) - n
     return found.withColumn("jaccard", F.when(union > 0, n / union).otherwise(F.lit(0.0))).drop("both", "qn", "cn")
-
-
-def similar_pairs(bands: DataFrame, least: int) -> DataFrame:
-    """(a, b, bands): chunk pairs that share at least `least` buckets."""
-    other = bands.select(F.col("chunk_id").alias("b"), "band", "bucket")
-    return bands.join(other, ["band", "bucket"]).where("chunk_id < b").groupBy(F.col("chunk_id").alias("a"), "b").agg(F.count("*").alias("bands")).where(F.col("bands") >= least)
-
-
-def settings(config: EngineConfig) -> tuple[int, int]:
-    return config.num_perm, config.lsh_rows

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from granary.config import EngineConfig
 from granary.functions import text as T
+from granary.functions.stem import stemmed
 from granary.operators import minhash, simhash, weights
+from granary.operators.itemsets import expanded
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,8 @@ class Corpus:
     signatures: DataFrame
     vocabulary: DataFrame
     vectors: DataFrame
+    stems: DataFrame  # as tokens, each term stemmed
+    cooccurrence: DataFrame | None = None  # of stemmed terms, for query expansion
 
 
 def build(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Corpus:
@@ -39,7 +43,7 @@ def build(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Corpus:
     idf = weights.idf(tf, n)
     grams = weights.grams(chunks)
     vocabulary = weights.vocabulary(grams, n, config)
-    return Corpus(chunks, n, tokens, idf, simhash.fingerprints(tf, idf, chunks), minhash.signatures(minhash.shingle_rows(tokens), config.num_perm), vocabulary, weights.vectors(grams, vocabulary))
+    return Corpus(chunks, n, tokens, idf, simhash.fingerprints(tf, idf, chunks), minhash.signatures(stemmed(tokens), config.num_perm), vocabulary, weights.vectors(grams, vocabulary), stemmed(tokens))
 
 
 class Queries:
@@ -52,6 +56,10 @@ class Queries:
     def tokens(self) -> DataFrame:
         return self.rows.select("query_id", T.tokenize("text").alias("terms"))
 
+    @cached_property
+    def stems(self) -> DataFrame:
+        return stemmed(self.tokens)
+
     @cached_property
     def fingerprints(self) -> DataFrame:
         tf = self.tokens.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
@@ -59,7 +67,7 @@ class Queries:
 
     @cached_property
     def signatures(self) -> DataFrame:
-        return minhash.signatures(minhash.shingle_rows(self.tokens, "query_id"), self.config.num_perm, "query_id")
+        return minhash.signatures(self.stems, self.config.num_perm, "query_id")
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -132,7 +140,7 @@ def without(queries: Queries, found: DataFrame) -> Queries:
 def minhash_ranked(corpus: Corpus, queries: Queries, k: int, config: EngineConfig, source_file: str | None = None, fallback: bool = True) -> DataFrame:
     """Candidates, the best by signature, exact Jaccard, the k best; TF-IDF for queries without candidates."""
     found = top(lsh(corpus, queries, config, source_file), "sig_jaccard", config.preselect).drop("rank")
-    exact = minhash.exact_jaccard(found, minhash.shingle_rows(queries.tokens, "query_id"), minhash.shingle_rows(corpus.tokens))
+    exact = minhash.exact_jaccard(found, minhash.shingle_rows(queries.stems, "query_id"), minhash.shingle_rows(corpus.stems))
     ranked = shaped(top(exact, "jaccard", min(k, config.exact_rerank)), "minhash", F.col("jaccard"))
     if not fallback:
         return ranked
@@ -140,9 +148,9 @@ def minhash_ranked(corpus: Corpus, queries: Queries, k: int, config: EngineConfi
     return ranked.unionByName(rest.withColumn("method", F.lit("minhash")).withColumn("fallback_to", F.lit("tfidf")))
 
 
-def minhash_pure(corpus: Corpus, queries: Queries, k: int, config: EngineConfig) -> DataFrame:
+def minhash_pure(corpus: Corpus, queries: Queries, k: int, config: EngineConfig, source_file: str | None = None) -> DataFrame:
     """The best by signature alone, without a fallback, and how many candidates there were."""
-    found = lsh(corpus, queries, config)
+    found = lsh(corpus, queries, config, source_file)
     counts = found.groupBy("query_id").agg(F.count("*").alias("candidates"))
     return shaped(top(found, "sig_jaccard", k), "minhash_lsh_only", F.col("sig_jaccard")).join(counts, "query_id")
 
@@ -158,10 +166,15 @@ def hybrid(corpus: Corpus, queries: Queries, k: int, config: EngineConfig, sourc
 
 
 def retrieve(corpus: Corpus, queries: DataFrame, method: str, k: int | None = None, config: EngineConfig = EngineConfig(), source_file: str | None = None) -> DataFrame:
-    """Rank chunks for queries (query_id, text) by tfidf, minhash, simhash, hybrid or all of them."""
+    """Rank chunks for queries (query_id, text) by tfidf, minhash, simhash, hybrid or all of them.
+
+    With expand_queries set and a co-occurrence map in the corpus, queries are expanded first.
+    """
     k = config.top_k if k is None else k
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
+    if config.expand_queries and corpus.cooccurrence is not None:
+        queries = expanded(queries, corpus.cooccurrence, config.fim_top_n, config.fim_min_idf)
     q = encode(queries, corpus, config)
     rankers = {
         "tfidf": lambda: tfidf(corpus, q, k, source_file),

@@ -5,13 +5,16 @@ Weights are integers (tf times idf in millionths), so sums don't depend on their
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.minhash import md5_part
+from granary.session import against
 
-#: Six blocks of the 64 bits, (half, shift, width): with at most four (even five) bits apart, two fingerprints agree on one.
-BLOCKS = (("fp_hi", 0, 11), ("fp_hi", 11, 11), ("fp_hi", 22, 10), ("fp_lo", 0, 11), ("fp_lo", 11, 11), ("fp_lo", 22, 10))
+#: Seven blocks of the 64 bits (first bit, width).
+BLOCKS = tuple((9 * i, 9 if i < 6 else 10) for i in range(7))
 
 
 def fingerprints(tf: DataFrame, idf: DataFrame, keys: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -32,16 +35,42 @@ def hamming(hi: Column, lo: Column, hi_2: Column, lo_2: Column) -> Column:
 def query_distances(query_fp: DataFrame, chunk_fp: DataFrame) -> DataFrame:
     """(query_id, chunk_id, hamming) of every query against every chunk: a stated query set, scanned chunk by chunk."""
     q = query_fp.select("query_id", F.col("fp_hi").alias("q_hi"), F.col("fp_lo").alias("q_lo"))
-    return chunk_fp.crossJoin(q).select("query_id", "chunk_id", hamming(F.col("q_hi"), F.col("q_lo"), F.col("fp_hi"), F.col("fp_lo")).alias("hamming"))
+    return against(chunk_fp, q).select("query_id", "chunk_id", hamming(F.col("q_hi"), F.col("q_lo"), F.col("fp_hi"), F.col("fp_lo")).alias("hamming"))
+
+
+def block(i: int) -> Column:
+    """The bits of a block as a long; blocks may lie across both halves."""
+    first, width = BLOCKS[i]
+    low = F.shiftrightunsigned("fp_lo", first) if first < 32 else F.lit(0).cast("long")
+    high = F.shiftright("fp_hi", first - 32) if first >= 32 else F.shiftleft("fp_hi", 32 - first)
+    return low.bitwiseOR(high).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def near_duplicates(fp: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b, hamming) with a < b and at most `most` (up to 5) bits apart, by equality on any of six blocks."""
-    if most >= len(BLOCKS):
-        raise ValueError("blocks are lossless for fewer differences than there are blocks")
-    block = lambda i, half, shift, width: F.struct(F.lit(i).alias("i"), F.shiftright(F.col(half), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("v"))
-    keyed = fp.select("chunk_id", "fp_hi", "fp_lo", F.explode(F.array(*[block(i, *b) for i, b in enumerate(BLOCKS)])).alias("k"))
-    x = keyed.select(F.col("chunk_id").alias("a"), F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"), "k")
-    y = keyed.select(F.col("chunk_id").alias("b"), F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"), "k")
+    """(a, b, hamming) with a < b and at most `most` (up to 4) bits apart.
+
+    Equal fingerprints are one class first. Classes that differ in at most four bits agree on three of seven blocks: they
+    meet under one of 35 keys of 27 bits or more, and each pair under its first common key only, so nothing is made twice.
+    """
+    if most > 4:
+        raise ValueError("three of seven blocks are lossless for at most four bits")
+    kinds = fp.groupBy("fp_hi", "fp_lo").agg(F.count("*").alias("n"))
+    triples = list(itertools.combinations(range(len(BLOCKS)), 3))
+    keys = F.array(*[F.struct(F.lit(j).alias("i"), sum((F.shiftleft(block(i), 10 * k) for k, i in enumerate(t)), F.lit(0).cast("long")).alias("v")) for j, t in enumerate(triples)])
+    keyed = kinds.select("fp_hi", "fp_lo", F.explode(keys).alias("k"))
+    x = keyed.select(F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"), "k")
+    y = keyed.select(F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"), "k")
     h = hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    return x.join(y, "k").where("a < b").withColumn("hamming", h).where(F.col("hamming") <= most).select("a", "b", "hamming").distinct()
+    apart = F.array(*[F.col("a_hi").bitwiseXOR(F.col("b_hi")), F.col("a_lo").bitwiseXOR(F.col("b_lo"))])
+    met = x.join(y, "k").where("a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo)").withColumn("hamming", h).where(F.col("hamming") <= most)
+    pairs = met.withColumn("x", apart).withColumns({"fp_hi": F.col("x")[0], "fp_lo": F.col("x")[1]})
+    equal = [block(i) == 0 for i in range(len(BLOCKS))]
+    first = F.lit(None).cast("int")
+    for j, (p, q, r) in reversed(list(enumerate(triples))):
+        first = F.when(equal[p] & equal[q] & equal[r], j).otherwise(first)
+    pairs = pairs.where(F.col("k.i") == first).select("a_hi", "a_lo", "b_hi", "b_lo", "hamming")
+    several = kinds.where("n > 1").select(F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"), F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"), F.lit(0).alias("hamming"))
+    one = fp.select(F.col("chunk_id").alias("one"), F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"))
+    two = fp.select(F.col("chunk_id").alias("two"), F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"))
+    found = pairs.union(several).join(one, ["a_hi", "a_lo"]).join(two, ["b_hi", "b_lo"]).where("hamming > 0 or one < two")
+    return found.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), "hamming")

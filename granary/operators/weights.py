@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import EngineConfig
@@ -37,7 +37,8 @@ def vocabulary(corpus_grams: DataFrame, documents: int, config: EngineConfig = E
 
 
 def vectors(grams: DataFrame, vocabulary: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, term, w): sublinear tf times idf, of length 1 for each key. The vocabulary has at most max_features rows."""
-    raw = grams.join(vocabulary.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    """(key, term, w): sublinear tf times idf, of length 1 for each key. The vocabulary, of at most max_features rows, is
+    broadcast; the norm is a window over the key's rows, which one shuffle brings together."""
+    raw = grams.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("w"))

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.config import EngineConfig
-from granary.operators import graph, minhash, retrieve, simhash, weights
+from granary.functions.stem import stemmed
+from granary.operators import graph, itemsets, minhash, retrieve, simhash, weights
 from granary.operators.retrieve import Corpus
 
-TABLES = ("chunks", "tokens", "idf", "fingerprints", "signatures", "vocabulary", "vectors", "pagerank")
+TABLES = ("chunks", "tokens", "idf", "fingerprints", "signatures", "vocabulary", "vectors", "stems", "pagerank")  # and cooccurrence, where queries are expanded
 
 
 class Materialised:
@@ -32,6 +33,14 @@ class Materialised:
     def tokens(self) -> DataFrame:
         return graph.shared(weights.tokens(self.chunks))
 
+    @cached_property
+    def stems(self) -> DataFrame:
+        return graph.shared(stemmed(self.tokens))
+
+    @cached_property
+    def cooccurrence(self) -> DataFrame | None:
+        return graph.shared(cooccurrences(self.stems, self.documents, self.config)) if self.config.expand_queries else None
+
     @cached_property
     def frequencies(self) -> DataFrame:
         return graph.shared(weights.term_frequency(self.tokens))
@@ -46,7 +55,7 @@ class Materialised:
 
     @cached_property
     def signatures(self) -> DataFrame:
-        return graph.shared(minhash.signatures(minhash.shingle_rows(self.tokens), self.config.num_perm))
+        return graph.shared(minhash.signatures(self.stems, self.config.num_perm))
 
     @cached_property
     def grams(self) -> DataFrame:
@@ -61,6 +70,15 @@ class Materialised:
         return graph.shared(weights.vectors(self.grams, self.vocabulary))
 
 
+def cooccurrences(stems: DataFrame, documents: int, config: EngineConfig) -> DataFrame:
+    """The co-occurrence map of stemmed terms, weighted by their own idf."""
+    baskets = weights.term_frequency(stems)
+    rows = baskets.select("chunk_id", "term")
+    pairs = graph.shared(itemsets.pairs(rows, config.fim_support))
+    triples = itemsets.triples(rows, pairs, max(config.fim_support, config.fim_triple_support))
+    return itemsets.cooccurrence(pairs, triples, weights.idf(baskets, documents))
+
+
 def materialised(chunks: DataFrame, config: EngineConfig = EngineConfig()) -> Materialised:
     return Materialised(chunks, config)
 
@@ -103,7 +121,10 @@ class Engine:
         tokens = store("tokens", lambda: weights.tokens(rows))
         tf = weights.term_frequency(tokens)
         idf = store("idf", lambda: weights.idf(tf, n))
-        store("signatures", lambda: minhash.signatures(minhash.shingle_rows(tokens), self.config.num_perm))
+        stems = store("stems", lambda: stemmed(tokens))
+        store("signatures", lambda: minhash.signatures(stems, self.config.num_perm))
+        if self.config.expand_queries:
+            store("cooccurrence", lambda: cooccurrences(stems, n, self.config))
         vocabulary = store("vocabulary", lambda: weights.vocabulary(weights.grams(rows), n, self.config))
         store("vectors", lambda: weights.vectors(weights.grams(rows), vocabulary))
         fp = store("fingerprints", lambda: simhash.fingerprints(tf, idf, rows))
@@ -112,17 +133,20 @@ class Engine:
             edges = graph.both_ways(simhash.near_duplicates(fp, self.config.near_dup_hamming))
             if "section_title" in rows.columns:
                 edges = edges.union(graph.reference_edges(rows)).distinct()
-            return graph.normalised(graph.pagerank(rows, edges, self.config.pagerank_alpha, self.config.pagerank_iterations))
+            return graph.normalised(graph.pagerank(rows, edges, self.config.pagerank_alpha, self.config.pagerank_iterations, self.config.pagerank_tolerance))
 
         store("pagerank", ranks)
         return version, self.spark.createDataFrame(steps, "name string, action string, seconds double")
 
     def load(self, version: str) -> Corpus:
         t = lambda name: self.table(version, name)
-        return Corpus(t("chunks"), t("chunks").count(), t("tokens"), t("idf"), t("fingerprints"), t("signatures"), t("vocabulary"), t("vectors"))
+        return Corpus(t("chunks"), t("chunks").count(), t("tokens"), t("idf"), t("fingerprints"), t("signatures"), t("vocabulary"), t("vectors"), t("stems"), t("cooccurrence") if self.config.expand_queries else None)
 
     def query(self, version: str, queries: DataFrame, method: str = "all", k: int | None = None, use_pagerank: bool = True, source_file: str | None = None) -> DataFrame:
         """Ranked, fused and hydrated results for queries (query_id, text); blank queries are refused."""
+        missing = [name for name in TABLES if not self.exists(version, name)]
+        if missing:
+            raise ValueError(f"indexes are not built: {', '.join(missing)}")
         if queries.where("text is null or trim(text) = ''").limit(1).count():
             raise ValueError("a query must not be blank")
         corpus = self.load(version)

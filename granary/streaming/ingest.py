@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from granary.config import EngineConfig
+from granary.functions.stem import stemmed
 from granary.operators import corpus, minhash, simhash, weights
 
 
@@ -28,7 +29,7 @@ def start(stream: DataFrame, folder: str, frozen_idf: DataFrame, config: EngineC
         put(chunks, "chunks")
         chunks = rows.sparkSession.read.parquet(f"{folder}/chunks/batch={number}")
         tokens = weights.tokens(chunks)
-        put(minhash.signatures(minhash.shingle_rows(tokens), config.num_perm), "signatures")
+        put(minhash.signatures(stemmed(tokens), config.num_perm), "signatures")
         put(simhash.fingerprints(weights.term_frequency(tokens), frozen_idf, chunks), "fingerprints")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
