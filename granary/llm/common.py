@@ -5,17 +5,15 @@ Hashes are 64 bit and seeded by constants, so every executor and every rerun of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import ship
+from granary.session import shared_folder, ship
 
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
@@ -40,12 +38,8 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
+    return shared_folder(spark)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -65,21 +59,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def same_splits(spark: SparkSession) -> Iterator[None]:
-    """Scans planned inside cut a table into the same splits, also if executors come or go between them: Spark takes the
-    least number of splits from the cores registered at the time unless it is set. A number that the user set stays."""
-    key = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(key, None)
-    if before is None:
-        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

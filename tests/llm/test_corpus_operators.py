@@ -138,6 +138,24 @@ def test_forest_in_cells_matches_brute_force():
             assert len(np.unique(forest.label)) == len(np.unique(want)) == len(np.unique(np.stack([forest.label, want]), axis=1).T)
 
 
+def brute_substrings(rows, window=13):
+    first = {}
+    cut = [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in cut:
+        for j in range(len(w) - window + 1):
+            key = tuple(w[j : j + window])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in cut:
+        gone = [False] * len(w)
+        for j in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[j : j + window])] < i:
+                gone[j : j + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
 def test_substring_dedup(spark):
     texts = corpus(2)
     rows = [*enumerate(texts), (3, texts[20]), (None, texts[21]), (None, texts[22])]
@@ -426,3 +444,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert manifests[0] == manifests[1] and len(manifests[0]) > 2  # the same files however the table is partitioned
     warc.write(pages.limit(0), str(tmp_path / "c"))
     assert warc.read(spark, str(tmp_path / "c")).count() == 0
+
+
+def test_warc_shards_records_and_odd_tables(spark, tmp_path):
+    """One page_id far from all others, one that a third of all rows have, null ones, a very long payload, clashing columns."""
+    rng = random.Random(2)
+    body = lambda n: "".join(rng.choice("abc def") for _ in range(n))
+    ids = [*range(200), *[77] * 100, *[None] * 60]
+    rows = [(i, f"http://h/{k}", body(800), "x", 1) for k, i in enumerate(ids)] + [(500, "http://h/long", body(300_000), "x", 1), (3, "http://h/3", "same", "x", 1), (3, "http://h/3", "same", "x", 1)]
+    schema = "page_id long, url string, html string, shard string, bytes int"
+    params, counts = warc.WarcParams(shard_bytes=20_000), []
+    for k, extra in enumerate(([], [(2**50, "http://far", "far", "x", 1)])):
+        warc.write(spark.createDataFrame([*rows, *extra], schema), str(tmp_path / f"w{k}"), params)
+        names = [r["file"] for r in spark.read.parquet(str(tmp_path / f"w{k}/manifest")).collect()]
+        counts.append(len({n.split("-")[1] for n in names}))
+        got = warc.read(spark, str(tmp_path / f"w{k}")).collect()
+        assert sorted(map(str, ((r["page_id"], r["html"]) for r in got))) == sorted(map(str, ((r[0], r[2]) for r in [*rows, *extra])))
+    assert counts[0] >= 15 and abs(counts[0] - counts[1]) <= 1
+    seen, kinds = set(), set()
+    for f in sorted((tmp_path / "w0").glob("*.warc.gz")):
+        with f.open("rb") as raw:
+            for k, (fields, block) in enumerate(warc.parsed(iter(lambda raw=raw: raw.read(1 << 16), b""))):
+                assert (k == 0) == (fields["WARC-Type"] == "warcinfo") and fields["WARC-Record-ID"] not in seen
+                assert k == 0 or (block.startswith(b"HTTP/1.1 200 OK\r\n") and fields["Content-Type"].startswith("application/http"))
+                assert fields["WARC-Block-Digest"] == "sha1:" + warc.base32(hashlib.sha1(block).hexdigest())
+                seen.add(fields["WARC-Record-ID"])
+                kinds.add(fields["WARC-Type"])
+    assert kinds == {"warcinfo", "response"}
