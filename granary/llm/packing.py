@@ -71,9 +71,11 @@ def pack(documents: DataFrame, params: PackingParams = PackingParams(), tokens:
     """
     size = F.greatest(F.lit(0), (words() if tokens is None else tokens)).cast("long")
     top = params.max_tokens
-    counted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("total"))
-    pieces = counted.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr(f"(total - 1) div {top}")).cast("long"))).alias("piece"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("total") - F.col("piece") * top).cast("int").alias("n_tokens"))
+    # the salt tells rows of one doc_id apart by their texts, so that these have no stream in common
+    salt = F.xxhash64("text") if "text" in documents.columns else F.lit(0).cast("long")
+    counted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("total"), salt.alias("salt"))
+    pieces = counted.select("doc_id", "total", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr(f"(total - 1) div {top}")).cast("long"))).alias("piece"))
+    pieces = pieces.select("doc_id", "salt", F.col("piece").cast("int").alias("piece"), (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("total") - F.col("piece") * top).cast("int").alias("n_tokens"))
     histogram = pieces.groupBy("n_tokens").count().orderBy("n_tokens").toPandas()  # at most max_tokens + 1 rows
     lengths, counts = histogram["n_tokens"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64)
     ends = boundaries(lengths, counts, params.buckets) or [0]
@@ -82,7 +84,7 @@ def pack(documents: DataFrame, params: PackingParams = PackingParams(), tokens:
     for e, rows in list(zip(ends, inside, strict=True))[-2::-1]:
         fits = F.col("n_tokens") <= e
         bucket, streams = F.when(fits, max(1, e)).otherwise(bucket), F.when(fits, max(1, -(-int(rows) // params.stream_rows))).otherwise(streams)
-    dealt = pieces.withColumn("bucket", bucket.cast("int")).withColumn("stream", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), streams).cast("int"))
-    place = F.row_number().over(Window.partitionBy("bucket", "stream").orderBy("doc_id", "piece", "n_tokens")) - 1
+    dealt = pieces.withColumn("bucket", bucket.cast("int")).withColumn("stream", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "salt"), streams).cast("int"))
+    place = F.row_number().over(Window.partitionBy("bucket", "stream").orderBy("doc_id", "piece", "n_tokens", "salt")) - 1
     held = F.greatest(F.lit(1), F.expr(f"{params.budget} div bucket"))
     return dealt.withColumn("place", place).select("doc_id", "piece", "start", "n_tokens", "bucket", "stream", F.expr(f"cast(place div greatest(1, {params.budget} div bucket) as int)").alias("batch"), F.pmod(F.col("place"), held).cast("int").alias("slot"))
