@@ -220,10 +220,8 @@ def dedup(documents: DataFrame, params: SubstringParams = SubstringParams()) ->
             o = np.lexsort((k2, k1))
             k1, k2, low = k1[o], k2[o], low[o]
             i = np.minimum(np.searchsorted(k1, one), len(k1) - 1)
-            for _ in range(8):  # windows of one first and another second hash: some steps on, in the odd case
-                step = (k1[i] == one) & (k2[i] < two) & (i + 1 < len(k1))
-                if not step.any():
-                    break
+            # windows of one first and another second hash: a step further for each, until none is left
+            while (step := (k1[i] == one) & (k2[i] < two) & (i + 1 < len(k1))).any():
                 i = i + step
             same = (k1[i] == one) & (k2[i] == two)
             smallest[same] = np.minimum(smallest[same], low[i[same]])
