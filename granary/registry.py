@@ -14,7 +14,7 @@ from granary.functions import stem
 from granary.functions import text as T
 from granary.operators import answer, corpus, evaluate, graph, itemsets, minhash, retrieve, simhash, weights
 from granary.plans.engine import materialised
-from granary.session import against
+from granary.session import against, spread
 from granary.sources import store
 from granary.streaming.ingest import windowed_counts
 
@@ -61,15 +61,15 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Token arrays, written once to the shared folder: recomputing them inside every use costs far more."""
-    return graph.shared(weights.tokens(chunks(spark, d)))
+    return graph.shared(weights.tokens(spread(chunks(spark, d), "chunk_id")))
 
 
 def stems(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shared(stem.stemmed(weights.tokens(chunks(spark, d))))
+    return graph.shared(stem.stemmed(weights.tokens(spread(chunks(spark, d), "chunk_id"))))
 
 
 def corpus_of(spark: SparkSession, d: str) -> retrieve.Corpus:
-    return materialised(chunks(spark, d))
+    return materialised(spread(chunks(spark, d), "chunk_id"))
 
 
 def ranked(spark: SparkSession, d: str, method: str, k: int = 5, config: EngineConfig = CONFIG, source_file: str | None = None) -> DataFrame:
