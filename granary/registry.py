@@ -351,9 +351,13 @@ def fim_singletons(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.singletons(baskets(spark, d), CONFIG.fim_support)
 
 
-@query("SELECT a, b, support FROM pair")
+#: Pairs of whole documents at a support of 3 are millions of rows: the queries that return pairs state a support of 10.
+LISTED = EngineConfig(fim_support=10, fim_triple_support=O.TRIPLES, expand_queries=True)
+
+
+@query(f"SELECT a, b, support FROM pair WHERE support >= {LISTED.fim_support}")
 def fim_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return itemsets.pairs(baskets(spark, d), CONFIG.fim_support)
+    return itemsets.pairs(baskets(spark, d), LISTED.fim_support)
 
 
 #: Triples of whole documents at a support of 3 are thousands of millions; these queries state a support of their own.
@@ -366,13 +370,16 @@ def fim_triples(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.triples(rows, itemsets.pairs(rows, FIM.fim_triple_support), FIM.fim_triple_support)
 
 
-def cooccurrences(spark: SparkSession, d: str) -> DataFrame:
-    return materialised(chunks(spark, d), FIM).cooccurrence
+def cooccurrences(spark: SparkSession, d: str, config: EngineConfig = FIM) -> DataFrame:
+    return materialised(spread(chunks(spark, d), "chunk_id"), config).cooccurrence
+
+
+LISTED_SQL = f"SELECT term, co_term, CAST(sum(support) AS BIGINT) AS support FROM (SELECT unnest([a, b]) AS term, unnest([b, a]) AS co_term, support FROM pair WHERE support >= {LISTED.fim_support} UNION ALL SELECT unnest([a, a, b, b, c, c]), unnest([b, c, a, c, a, b]), support FROM triple) GROUP BY 1, 2"
 
 
-@query("SELECT term, co_term, support, round(weight, 6) AS weight, place FROM coocw")
+@query(f"SELECT term, co_term, support, round(support * idf, 6) AS weight, CAST(row_number() OVER (PARTITION BY c.term ORDER BY round(support * idf, 9) DESC, co_term) AS INTEGER) AS place FROM ({LISTED_SQL}) c JOIN (SELECT term AS co_term, idf FROM sidf) USING (co_term)")
 def fim_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(cooccurrences(spark, d), "weight").drop("idf")
+    return rounded(cooccurrences(spark, d, LISTED), "weight").drop("idf")
 
 
 PARTNERS = "SELECT term, list(co_term ORDER BY place) AS p FROM coocw WHERE idf >= 3.0 GROUP BY 1"
