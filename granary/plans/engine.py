@@ -15,6 +15,7 @@ from granary.config import EngineConfig
 from granary.functions.stem import stemmed
 from granary.operators import graph, itemsets, minhash, retrieve, simhash, weights
 from granary.operators.retrieve import Corpus
+from granary.session import spread
 
 TABLES = ("chunks", "tokens", "idf", "fingerprints", "signatures", "vocabulary", "vectors", "stems", "pagerank")  # and cooccurrence, where queries are expanded
 
@@ -116,17 +117,18 @@ class Engine:
             steps.append((name, "skipped" if done else "built", time.perf_counter() - began))
             return self.table(version, name)
 
-        rows = store("chunks", lambda: chunks)
+        rows = store("chunks", lambda: spread(chunks, "chunk_id"))
         n = rows.count()
         tokens = store("tokens", lambda: weights.tokens(rows))
-        tf = weights.term_frequency(tokens)
+        tf = graph.shared(weights.term_frequency(tokens))
         idf = store("idf", lambda: weights.idf(tf, n))
         stems = store("stems", lambda: stemmed(tokens))
         store("signatures", lambda: minhash.signatures(stems, self.config.num_perm))
         if self.config.expand_queries:
             store("cooccurrence", lambda: cooccurrences(stems, n, self.config))
-        vocabulary = store("vocabulary", lambda: weights.vocabulary(weights.grams(rows), n, self.config))
-        store("vectors", lambda: weights.vectors(weights.grams(rows), vocabulary))
+        grams = graph.shared(weights.grams(rows))
+        vocabulary = store("vocabulary", lambda: weights.vocabulary(grams, n, self.config))
+        store("vectors", lambda: weights.vectors(grams, vocabulary))
         fp = store("fingerprints", lambda: simhash.fingerprints(tf, idf, rows))
 
         def ranks() -> DataFrame:
