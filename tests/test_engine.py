@@ -45,6 +45,10 @@ def test_clean(spark):
     assert one(spark, T.extracted, "oﬃ-\ncer") == "officer" and one(spark, T.clean, None) is None
 
 
+def test_clean_trims_spaces_of_every_part(spark):
+    assert one(spark, T.clean, " 0 items cost 10\n\n 1 is 11 \n\n2 or 22") == "0 items cost 10\n\n1 is 11\n\n2 or 22"
+
+
 def test_spans(spark):
     pairs = spark.createDataFrame([(i, 0, *r) for i, r in enumerate([("aaaa", "aa"), ("see the RED", "red the"), ("abab", "ab ba"), ("x", ""), (r"a\E.b", r"\E. zz")])], "query_id long, chunk_id long, text string, query string")
     got = {r["query_id"]: [(s["start"], s["end"]) for s in r["highlight_spans"]] for r in retrieve.highlights(pairs).collect()}
