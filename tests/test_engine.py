@@ -100,6 +100,35 @@ def test_pagerank(spark):
     assert all(abs(got[i] - rank[i]) < 1e-9 for i in range(5))
 
 
+def test_terms_are_counted_and_weighed_in_the_row(spark, monkeypatch):
+    import random
+
+    from granary.operators import lexical
+    from granary.plans.engine import materialised
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("ab cd ef gh Äb x été ij kl".split()) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None, "solo", "ab " * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").withColumn("source_file", F.lit("s"))
+    monkeypatch.setattr(lexical, "STRETCH", 100)
+    near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for most in (3, 12, 1000):
+        config = EngineConfig(max_features=most)
+        grams = weights.grams(rows)
+        known = weights.vocabulary(grams, 44, config)
+        c = materialised(rows, config)
+        assert near(c.vocabulary) == near(known)
+        assert near(c.vectors.select("chunk_id", "term", "w")) == near(weights.vectors(grams, known))
+        assert "Exchange" not in c.vectors._jdf.queryExecution().executedPlan().toString()
+        q = retrieve.encode(spark.createDataFrame([(1, "ab cd"), (2, "zz"), (3, "ete ij kl ij kl")], "query_id long, text string"), c, config)
+        every = c.vectors.join(q.vectors.withColumnRenamed("w", "qw"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("cosine"))
+        assert near(retrieve.tfidf_scores(c, q)) == near(every)
+        assert near(retrieve.top(retrieve.tfidf_scores(c, q, k=4), "cosine", 4)) == near(retrieve.top(every, "cosine", 4))
+    monkeypatch.setattr(lexical, "MOST_WORDS", 2)
+    monkeypatch.setattr(lexical, "MOST_QUERIES", 1)
+    c = materialised(rows, config)
+    assert near(c.vocabulary) == near(known) and c.scores(rows, q, None) is None
+
+
 def test_itemsets(spark):
     baskets = [(1, "abc"), (2, "abc"), (3, "abd"), (4, "cd")]
     rows = spark.createDataFrame([(i, t) for i, s in baskets for t in s], "chunk_id long, term string")
