@@ -100,6 +100,22 @@ def test_pagerank(spark):
     assert all(abs(got[i] - rank[i]) < 1e-9 for i in range(5))
 
 
+def test_pagerank_of_near_duplicates_by_classes(spark):
+    fps = [0] * 5 + [1, 3, 3, 7 << 40, 7 << 40, (7 << 40) + 1, 1 << 60 | 0xFFFF, 0xF0F0F0F0F0F0]
+    fp = spark.createDataFrame([(i, f >> 32, f & 0xFFFFFFFF) for i, f in enumerate(fps)], "chunk_id long, fp_hi long, fp_lo long")
+    edges = graph.both_ways(simhash.near_duplicates(fp))
+    assert edges.count() > 30
+    want = {r["chunk_id"]: r["rank"] for r in graph.pagerank(fp, edges).collect()}
+    got = {r["chunk_id"]: r["rank"] for r in graph.near_pagerank(fp).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want) and abs(sum(got.values()) - 1) < 1e-9
+    assert {r["rank"] for r in graph.near_pagerank(fp.where("chunk_id > 10")).collect()} == {0.5}
+
+
+def test_near_duplicates_broadcast_nothing(spark):
+    fp = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 0, 1)], "chunk_id long, fp_hi long, fp_lo long")
+    assert "Broadcast" not in simhash.near_duplicates(fp)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_terms_are_counted_and_weighed_in_the_row(spark, monkeypatch):
     import random
 
