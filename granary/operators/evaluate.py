@@ -11,10 +11,29 @@ from granary.session import against
 LABELS = ("correct", "partial", "incorrect", "unscored")
 
 
+#: Queries whose words are looked up in each text; more are met one by one.
+MOST_ANCHORS = 1_000
+
+
 def relevant(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id): chunks that contain the query's text. Queries are a stated set, sent to every chunk."""
+    """(query_id, chunk_id): chunks that contain the query's text.
+
+    A word inside a passage, with other characters on both sides, is a whole word of each text that contains the passage:
+    texts are searched only for passages whose longest such word they have. Passages without one are sent to every chunk.
+    """
     q = queries.select("query_id", F.col("text").alias("passage"))
-    return against(chunks.select("chunk_id", "text"), q).where(F.expr("contains(text, passage)")).select("query_id", "chunk_id")
+    inner = F.regexp_extract_all(F.coalesce("passage", F.lit("")), F.lit(r"(?<=[^\p{L}\p{N}_])([\p{L}\p{N}_]+)(?=[^\p{L}\p{N}_])"), F.lit(1))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
+    named = q.withColumn("anchor", longest)
+    rows = chunks.select("chunk_id", "text")
+    found = lambda met: met.where(F.expr("contains(text, passage)")).select("query_id", "chunk_id")
+    anchors = [r[0] for r in named.where("anchor is not null").select("anchor").distinct().limit(MOST_ANCHORS + 1).collect()]
+    if not anchors or len(anchors) > MOST_ANCHORS:
+        return found(against(rows, q))
+    has = F.array_intersect(T.word_runs("text"), F.array(*map(F.lit, anchors)))
+    met = against(rows.withColumn("has", has).where(F.size("has") > 0), named.where("anchor is not null"))
+    plain = against(rows, named.where("anchor is null and passage is not null").select("query_id", "passage"))
+    return found(met.where(F.expr("array_contains(has, anchor)"))).union(found(plain))
 
 
 def judged(results: DataFrame, qrels: DataFrame) -> DataFrame:

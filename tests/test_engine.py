@@ -182,6 +182,19 @@ def test_metrics(spark, queries):
     assert rows[2]["precision"] == rows[2]["recall"] == rows[2]["average_precision"] == 0
 
 
+def test_relevant_by_a_word_inside(spark, monkeypatch):
+    texts = ["so the old pier stands", "bold pier stand", "the old pier standing", "a-b", "", None, "née_à côté-d'or x", "pier"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    asked = ["the old pier stand", "old pier", "pier", "a-b", "", None, "e_à côté-d", "d pier s", "\\\\E.*"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    want = {(i, j) for i, p in enumerate(asked) for j, t in enumerate(texts) if p is not None and t is not None and p in t}
+    got = [tuple(r) for r in evaluate.relevant(q, rows).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "array_contains" in evaluate.relevant(q, rows)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(evaluate, "MOST_ANCHORS", 1)
+    assert {tuple(r) for r in evaluate.relevant(q, rows).collect()} == want
+
+
 def test_answers(spark, chunks, queries):
     results = spark.createDataFrame([(1, 1, 0)], "query_id long, rank int, chunk_id long")
     got = {r["query_id"]: (r["answer"], r["chunk_id"]) for r in answer.extractive(results, chunks, queries).collect()}
