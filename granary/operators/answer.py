@@ -16,7 +16,7 @@ NOTHING = "No sufficiently clean evidence was found for this question."
 def extractive(results: DataFrame, chunks: DataFrame, queries: DataFrame, least_quality: float = 0.25) -> DataFrame:
     """(query_id, answer, cited): of each query's best clean chunk the sentence with most of the query's terms, the
     earliest of several; a fixed text and no citation without any clean chunk."""
-    rows = results.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").where(T.text_quality("text") >= least_quality)
+    rows = results.select("query_id", "rank", "chunk_id").join(retrieve.hit(chunks, results).select("chunk_id", "text"), "chunk_id").where(T.text_quality("text") >= least_quality)
     top = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))).where("place = 1")
     q = queries.select("query_id", T.answer_terms("text").alias("q"))
     each = top.join(q, "query_id").select("query_id", "chunk_id", "q", F.posexplode(T.sentences(F.trim("text"))).alias("pos", "sentence"))
@@ -40,7 +40,7 @@ def prompts(results: DataFrame, chunks: DataFrame, queries: DataFrame, longest:
     """(query_id, prompt): the question under its numbered excerpts, each whole with its section and page. longest: cut
     excerpts after so many characters. Chunks without section_title or page_start have an unknown section, page 1."""
     optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in chunks.columns else F.lit(default)
-    named = chunks.select("chunk_id", "text", optional("section_title", "").alias("section"), optional("page_start", 1).alias("page"))
+    named = retrieve.hit(chunks, results).select("chunk_id", "text", optional("section_title", "").alias("section"), optional("page_start", 1).alias("page"))
     rows = results.select("query_id", "rank", "chunk_id").join(named, "chunk_id")
     section = F.when(F.col("section") == "", "Unknown section").otherwise(F.col("section"))
     line = F.concat(F.lit("Excerpt "), F.col("rank").cast("string"), F.lit(" ("), section, F.lit(", page "), F.col("page").cast("string"), F.lit("):\n"), F.trim("text") if longest is None else T.snippet("text", longest))

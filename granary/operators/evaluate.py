@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators.retrieve import hit
 from granary.session import against
 
 LABELS = ("correct", "partial", "incorrect", "unscored")
@@ -81,7 +82,7 @@ def precision_curve(results: DataFrame, qrels: DataFrame, queries: DataFrame, me
 def mine(results: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates for labelling: (query_id, chunk_id, found_by, best_rank, term_overlap, snippet, place)."""
     each = results.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("method", "rank"))).alias("m"), F.min("rank").alias("best_rank"))
-    rows = each.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    rows = each.join(hit(chunks, results).select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     rows = rows.withColumn("term_overlap", T.term_overlap("text", "query")).withColumn("snippet", T.snippet("text"))
     order = Window.partitionBy("query_id").orderBy(F.desc("term_overlap"), "best_rank", "chunk_id")
     by = F.array_join(F.transform("m", lambda x: F.concat(x["method"], F.lit(":"), x["rank"].cast("string"))), ",")
