@@ -214,6 +214,38 @@ def test_triples_in_small_pieces(monkeypatch):
         assert got == counted(rows, 3, 5)
 
 
+def test_sets_and_sums_move_in_few_bytes():
+    import zlib
+
+    import numpy as np
+
+    dice = np.random.default_rng(7)
+    sets = [np.unique(dice.integers(0, 20_000, 190)) for _ in range(200)]
+    ids = np.concatenate(sets).astype(np.int32)
+    for values in (ids, ids[:0], np.array([0, 1 << 40, -5, 300], np.int64), np.sort(dice.integers(0, 1 << 50, 1000))):
+        assert np.array_equal(together.unpacked(together.packed(values), values.dtype.type), values)
+        assert np.array_equal(together.released(together.squeezed(values), values.dtype.type), values)
+    assert len(together.packed(ids)) < 0.8 * len(zlib.compress(np.diff(ids, prepend=np.int32(0)).tobytes(), 1))
+
+
+def test_texts_of_cooccurrence_stay_where_files_are_enough(spark, tmp_path):
+    from granary import registry
+    from granary.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("zebra quagga okapi").alias("text"), F.lit("s").alias("source")).repartition(cores).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.chunks(spark, str(tmp_path))
+    assert spread(rows, "chunk_id", 1) is rows and spread(rows, "chunk_id") is not rows
+    moved = []
+    keep = registry.weights.tokens
+    registry.weights.tokens = lambda r: moved.append("Exchange" in r._jdf.queryExecution().toString()) or keep(r)
+    try:
+        found = registry.fim_cooccurrence(spark, str(tmp_path)).collect()
+    finally:
+        registry.weights.tokens = keep
+    assert moved == [False] and {(r["term"], r["co_term"], r["support"]) for r in found} >= {("okapi", "quagga", 40), ("quagga", "okapi", 40)}
+
+
 def test_itemset_support_does_not_grow_with_the_corpus(spark, tmp_path):
     texts = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} filler" + (" zebra okapi quagga" if i < 3 else "") for i in range(60)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
