@@ -246,6 +246,24 @@ def test_texts_of_cooccurrence_stay_where_files_are_enough(spark, tmp_path):
     assert moved == [False] and {(r["term"], r["co_term"], r["support"]) for r in found} >= {("okapi", "quagga", 40), ("quagga", "okapi", 40)}
 
 
+def test_tables_of_triples_are_small():
+    import tracemalloc
+
+    import numpy as np
+
+    n, sets = 3000, 12
+    data = [(together.packed(np.full(sets, n, np.int32)), together.packed(np.tile(np.arange(n, dtype=np.int32), sets)), None)]
+    found = together.Sets(data, np.where(np.arange(n) == 0, 0, -1).astype(np.int16), 0)
+    tracemalloc.start()
+    try:
+        total = sum(int((table >= sets).sum()) for _, _, table in together.tripled(found, 0, n, sets))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == (n - 1) * (n - 2) // 2
+    assert peak < 60e6
+
+
 def test_itemset_support_does_not_grow_with_the_corpus(spark, tmp_path):
     texts = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} filler" + (" zebra okapi quagga" if i < 3 else "") for i in range(60)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
