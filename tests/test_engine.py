@@ -362,6 +362,35 @@ def test_rankers_write_no_index_of_terms_or_slots(spark, queries, monkeypatch, k
     assert found(c) == got and "signatures" in vars(c) and "frequencies" in vars(c)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nearest_fingerprints_without_a_row_for_each_pair(spark, kind):
+    import random
+
+    from granary.plans.engine import materialised
+
+    dice = random.Random(3)
+    at = [dice.getrandbits(64) for _ in range(9)]
+    fp = [(i, at[i % 9] ^ (1 << dice.randrange(64)) ^ (1 << dice.randrange(64))) for i in range(600)]
+    table = spark.createDataFrame([(i, x >> 32, x & 0xFFFFFFFF) for i, x in fp], "chunk_id long, fp_hi long, fp_lo long").withColumn("chunk_id", F.col("chunk_id").cast(kind))
+    asked = spark.createDataFrame([(i, x >> 32, x & 0xFFFFFFFF) for i, x in enumerate(at[:7])], "query_id long, fp_hi long, fp_lo long")
+    chunks = table.select("chunk_id", F.lit("zebra").alias("text"), F.lit("s").alias("source_file"))
+    corpus = materialised(chunks)
+    corpus.__dict__["fingerprints"] = table.repartition(3)
+    queries = retrieve.Queries(asked.select("query_id", F.lit("zebra").alias("text")), corpus, corpus.config)
+    queries.__dict__["fingerprints"] = asked
+    for k, threshold in ((5, 10), (50, 10), (5, 0), (1000, 12), (4, None)):
+        found = retrieve.simhash_ranked(corpus, queries, k, threshold)
+        plan = found._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        slow = retrieve.top(simhash.query_distances(asked, table).withColumn("similarity", 1 - F.col("hamming") / 64.0), "similarity", k)
+        least = {r["query_id"]: r["h"] for r in slow.groupBy("query_id").agg(F.min("hamming").alias("h")).collect()}
+        want = {(r["query_id"], r["rank"], r["chunk_id"], r["similarity"]) for r in slow.collect() if threshold is None or least[r["query_id"]] > threshold or r["hamming"] <= threshold}
+        assert {(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in found.collect()} == want and want
+    none = retrieve.Queries(queries.rows.limit(0), corpus, corpus.config)
+    none.__dict__["fingerprints"] = asked.limit(0)
+    assert not retrieve.simhash_ranked(corpus, none, 5, 10).collect()
+
+
 def test_fingerprints_of_chunks_that_share_an_id(spark):
     from granary.plans.engine import materialised
 
